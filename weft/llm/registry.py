@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import chat, decontaminate, licenses, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,5 +16,20 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_quality_rules": op9_quality_rules}
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence places and labels of every document."""
+    return licenses.license_scan(_table(spark, sf_dir, "documents"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests read back from the formatted text of every conversation."""
+    return chat.read_back(chat.format_conversations(chat.with_probe(_table(spark, sf_dir, "conversations"))))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that overlap."""
+    return decontaminate.contaminated_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op3_license_scan": op3_license_scan, "op5_chat_format": op5_chat_format, "op8_decontaminate": op8_decontaminate, "op9_quality_rules": op9_quality_rules}
 ORACLES: dict[str, str] = {}
