@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, licenses, quality
+from . import chat, decontaminate, licenses, mixing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates and copies of every document for the sources' targets."""
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence places and labels of every document."""
     return licenses.license_scan(_table(spark, sf_dir, "documents"))
@@ -31,5 +36,5 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op3_license_scan": op3_license_scan, "op5_chat_format": op5_chat_format, "op8_decontaminate": op8_decontaminate, "op9_quality_rules": op9_quality_rules}
+QUERIES = {"op2_mix_sources": op2_mix_sources, "op3_license_scan": op3_license_scan, "op5_chat_format": op5_chat_format, "op8_decontaminate": op8_decontaminate, "op9_quality_rules": op9_quality_rules}
 ORACLES: dict[str, str] = {}
