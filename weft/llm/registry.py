@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, licenses, mixing, quality, secrets
+from . import chat, decontaminate, licenses, mixing, pii, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, with the spans that weak supervision adds."""
+    return pii.detect(_table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates and copies of every document for the sources' targets."""
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
@@ -41,5 +46,5 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op2_mix_sources": op2_mix_sources, "op3_license_scan": op3_license_scan, "op5_chat_format": op5_chat_format, "op7_secret_scan": op7_secret_scan, "op8_decontaminate": op8_decontaminate, "op9_quality_rules": op9_quality_rules}
+QUERIES = {"op1_pii": op1_pii, "op2_mix_sources": op2_mix_sources, "op3_license_scan": op3_license_scan, "op5_chat_format": op5_chat_format, "op7_secret_scan": op7_secret_scan, "op8_decontaminate": op8_decontaminate, "op9_quality_rules": op9_quality_rules}
 ORACLES: dict[str, str] = {}

@@ -32,7 +32,7 @@ def matches(text: Column, pattern: str) -> Column:
 
 def luhn(digits: Column) -> Column:
     """Whether a string of digits passes the Luhn check."""
-    figure = F.transform(F.split(F.reverse(digits), "(?!^)"), lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise(F.element_at(F.array(*[F.lit(x) for x in (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)]), d.cast("int") + 1)))
+    figure = F.transform(F.regexp_extract_all(F.reverse(digits), F.lit("[0-9]"), F.lit(0)), lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise(F.element_at(F.array(*[F.lit(x) for x in (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)]), d.cast("int") + 1)))
     return F.aggregate(figure, F.lit(0), lambda a, b: a + b) % 10 == 0
 
 
