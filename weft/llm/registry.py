@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, licenses, mixing, pii, quality, secrets
+from . import chat, decontaminate, licenses, mixing, pii, quality, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity categories of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit_chain(docs, _table(spark, sf_dir, "labels")))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests read back from the formatted text of every conversation."""
     return chat.read_back(chat.format_conversations(chat.with_probe(_table(spark, sf_dir, "conversations"))))
@@ -46,5 +52,5 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_mix_sources": op2_mix_sources, "op3_license_scan": op3_license_scan, "op5_chat_format": op5_chat_format, "op7_secret_scan": op7_secret_scan, "op8_decontaminate": op8_decontaminate, "op9_quality_rules": op9_quality_rules}
+QUERIES = {"op1_pii": op1_pii, "op2_mix_sources": op2_mix_sources, "op3_license_scan": op3_license_scan, "op4_toxicity": op4_toxicity, "op5_chat_format": op5_chat_format, "op7_secret_scan": op7_secret_scan, "op8_decontaminate": op8_decontaminate, "op9_quality_rules": op9_quality_rules}
 ORACLES: dict[str, str] = {}
