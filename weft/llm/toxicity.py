@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import tokens as tk
 
 #: Most labelled rows in training; features that a model keeps; rows that a feature must be in; folds; ridge penalty.
-MAX_TRAIN, MAX_FEATURES, MIN_ROWS, FOLDS, PENALTY = 8000, 8192, 5, 5, 0.3
-THRESHOLD = 0.5
+MAX_TRAIN, MAX_FEATURES, MIN_ROWS, FOLDS, PENALTY = 8000, 8192, 5, 5, 0.1
+THRESHOLD = 0.4
 #: Bytes of the word beginnings that are features beside the whole words.
 PREFIXES = (4, 5, 6, 7, 8)
 
