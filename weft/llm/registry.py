@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, licenses, mixing, pii, quality, secrets, toxicity
+from . import chat, decontaminate, jaccard, licenses, mixing, pii, quality, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(chat.with_probe(_table(spark, sf_dir, "conversations"))))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every document, judged by how many owners hold them."""
     return secrets.secret_scan(_table(spark, sf_dir, "documents"))
@@ -52,5 +57,5 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_mix_sources": op2_mix_sources, "op3_license_scan": op3_license_scan, "op4_toxicity": op4_toxicity, "op5_chat_format": op5_chat_format, "op7_secret_scan": op7_secret_scan, "op8_decontaminate": op8_decontaminate, "op9_quality_rules": op9_quality_rules}
+QUERIES = {"op1_pii": op1_pii, "op2_mix_sources": op2_mix_sources, "op3_license_scan": op3_license_scan, "op4_toxicity": op4_toxicity, "op5_chat_format": op5_chat_format, "op6_jaccard_join": op6_jaccard_join, "op7_secret_scan": op7_secret_scan, "op8_decontaminate": op8_decontaminate, "op9_quality_rules": op9_quality_rules}
 ORACLES: dict[str, str] = {}
