@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, jaccard, licenses, mixing, pii, quality, secrets, toxicity
+from . import chat, decontaminate, dedup_substrings, jaccard, licenses, mixing, pii, quality, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,5 +57,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_mix_sources": op2_mix_sources, "op3_license_scan": op3_license_scan, "op4_toxicity": op4_toxicity, "op5_chat_format": op5_chat_format, "op6_jaccard_join": op6_jaccard_join, "op7_secret_scan": op7_secret_scan, "op8_decontaminate": op8_decontaminate, "op9_quality_rules": op9_quality_rules}
+def op10_dedup_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated strings of 400 bytes leave of every document."""
+    return dedup_substrings.dedup_substrings(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_mix_sources": op2_mix_sources, "op3_license_scan": op3_license_scan, "op4_toxicity": op4_toxicity, "op5_chat_format": op5_chat_format, "op6_jaccard_join": op6_jaccard_join, "op7_secret_scan": op7_secret_scan, "op8_decontaminate": op8_decontaminate, "op9_quality_rules": op9_quality_rules, "op10_dedup_substrings": op10_dedup_substrings}
 ORACLES: dict[str, str] = {}
