@@ -108,22 +108,46 @@ class SeedIndex:
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each document row and benchmark item that overlap, with the best segment."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(total // block_bytes) + 1
     tk.batch_conf(docs.sparkSession)
     source = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     out = None
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        found = _search_block(source, [r[0] for r in rows], [r[1] for r in rows])
+    for sent in _item_blocks(benchmark, block_bytes):
+        found = _search_block(source, sent)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _search_block(source: DataFrame, ids: list, texts: list) -> DataFrame:
-    sent = source.sparkSession.sparkContext.broadcast((ids, texts))
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that overlap no benchmark item, with all their columns."""
+    tk.batch_conf(docs.sparkSession)
+
+    def search(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = SeedIndex(*sent.value)
+            for batch in batches:
+                for part, data, offsets in tk.slices(batch):
+                    keep = np.ones(part.num_rows, bool)
+                    keep[[r for r, _, _ in index.search(data, offsets)]] = False
+                    yield part.filter(pa.array(keep))
+
+        return run
+
+    for sent in _item_blocks(benchmark, block_bytes):
+        docs = docs.mapInArrow(search(sent), docs.schema)
+    return docs
+
+
+def _item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator:
+    """Broadcasts of (item ids, texts), each of about ``block_bytes`` of text."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = int(total // block_bytes) + 1
+    for block in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+
 
+def _search_block(source: DataFrame, sent) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = SeedIndex(*sent.value)
         for batch in batches:

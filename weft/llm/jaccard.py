@@ -361,3 +361,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     named = named.join(smallest, "comp").select("node", "component_id")
     empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return rows.where("n > 0").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each component: that of the smallest doc_id, with all its columns."""
+    keyed = docs.withColumn("__key", F.xxhash64(*docs.columns))
+    comps = jaccard_components(keyed.select(F.col("__key").alias("doc_id"), "text")).select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    ids = keyed.select("__key", "doc_id").distinct().join(comps, "__key")
+    chosen = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("first")).select("first.__key")
+    return keyed.dropDuplicates(["__key"]).join(chosen, "__key", "left_semi").select(docs.columns)

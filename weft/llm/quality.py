@@ -139,6 +139,14 @@ def measure(data: np.ndarray, offsets: np.ndarray, min_repeat: int = MIN_REPEAT)
     return {"n_words": n_words, "word_chars": per_row(inside), "n_symbols": per_row(_SYMBOL[data]), "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words, "covered": covered, "longest_repeat": longest}
 
 
+def _verdict(m: dict[str, np.ndarray], max_covered: float, max_longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether the base rules fail, whether the row is kept, and the covered fraction."""
+    n = m["n_words"]
+    failed = (n < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * n)
+    fraction = m["covered"] / np.maximum(n, 1)
+    return failed, ~failed & (fraction <= max_covered) & (m["longest_repeat"] <= max_longest), fraction
+
+
 def quality_rules(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
     """One row of counts and the verdict for each row of ``docs`` (doc_id, text)."""
 
@@ -146,10 +154,7 @@ def quality_rules(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: fl
         for batch in batches:
             for part, data, offsets in tk.slices(batch):
                 m = measure(data, offsets, min_repeat)
-                n = m["n_words"]
-                failed = (n < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * n)
-                fraction = m["covered"] / np.maximum(n, 1)
-                kept = ~failed & (fraction <= max_covered) & (m["longest_repeat"] <= max_longest)
+                failed, kept, fraction = _verdict(m, max_covered, max_longest)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *(pa.array(m[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(failed), pa.array(kept), pa.array(fraction), pa.array(m["longest_repeat"])],
                     ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_fraction", "longest_repeat"],
@@ -157,3 +162,15 @@ def quality_rules(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: fl
 
     tk.batch_conf(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+def quality_filter(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in tk.slices(batch):
+                yield part.filter(pa.array(_verdict(measure(data, offsets, min_repeat), max_covered, max_longest)[1]))
+
+    tk.batch_conf(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)

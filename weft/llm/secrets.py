@@ -51,15 +51,41 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("held").alias("repositories"), F.count(F.lit(1)).alias("owners"))
 
 
-def secret_scan(docs: DataFrame, max_repositories: int = MAX_REPOSITORIES, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """One row of counts and spans for each row of ``docs`` (doc_id, text, source)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), candidates(text).alias("found"))
-    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()))
+def _judge(rows: DataFrame, max_repositories: int, max_owners: int) -> DataFrame:
+    """(row, found) of candidates in (row, doc_id, source, found), each with its verdict ``live``."""
     each = rows.where(F.size("found") > 0).select("row", "doc_id", "source", F.explode("found").alias("c")).select("row", "doc_id", "source", "c.*")
     counted = each.join(ownership(each.select("doc_id", "source", "hash")), "hash")
     live = (F.col("repositories") <= max_repositories) & (F.col("owners") <= max_owners)
-    judged = counted.withColumn("live", live).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end", "hash", "live"))).alias("found"))
+    return counted.withColumn("live", live).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end", "hash", "live"))).alias("found"))
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), candidates(F.coalesce(F.col("text"), F.lit(""))).alias("found")]
+
+
+def mask_secrets(docs: DataFrame, mask: str = "[SECRET]", max_repositories: int = MAX_REPOSITORIES, max_owners: int = MAX_OWNERS) -> DataFrame:
+    """``docs`` with the candidates that look live masked in the text, and n_chars, if there, brought up to date."""
+    keyed = docs.withColumn("row", F.xxhash64(*docs.columns))
+    rows = materialize(keyed.select("row", *_columns(docs)).where(F.size("found") > 0).dropDuplicates(["row"]))
+    live = _judge(rows, max_repositories, max_owners).select("row", F.filter("found", lambda c: c["live"]).alias("live")).where(F.size("live") > 0)
+
+    def cut(acc: Column, c: Column) -> Column:
+        fresh = c["start"] >= acc["at"]
+        piece = F.concat(F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (c["start"] - acc["at"]).cast("int")), F.lit(mask))
+        return F.struct(F.greatest(acc["at"], c["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    masked = F.aggregate("live", start, cut, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2147483647))))
+    out = keyed.join(live, "row", "left").withColumn("text", F.when(F.col("live").isNotNull(), masked).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("live").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)
+
+
+def secret_scan(docs: DataFrame, max_repositories: int = MAX_REPOSITORIES, max_owners: int = MAX_OWNERS) -> DataFrame:
+    """One row of counts and spans for each row of ``docs`` (doc_id, text, source)."""
+    rows = materialize(docs.select(*_columns(docs)).withColumn("row", F.monotonically_increasing_id()))
+    judged = _judge(rows, max_repositories, max_owners)
     out = rows.select("row", "doc_id").join(judged, "row", "left")
     found = F.coalesce("found", F.expr("cast(array() as array<struct<start:long,rank:int,kind:string,end:long,hash:string,live:boolean>>)"))
     out = out.select("doc_id", found.alias("found")).select("doc_id", "found", F.filter("found", lambda c: c["kind"] != "live").alias("base"), F.filter("found", lambda c: (c["kind"] != "live") | c["live"]).alias("kept"))
