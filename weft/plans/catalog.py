@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import clustering, incremental, ranking
+
+_PARTS = (clustering, ranking, incremental)
+QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+ORACLES: dict = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
 
 
 def flagship(spark, sf_dir):
