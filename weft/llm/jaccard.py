@@ -10,7 +10,8 @@ hashes (with fewer words the whole sequence). Two sets link when 100 * intersect
 2. Equal sets form one class; classes are joined, copies are not expanded.
 3. In the order rarest shingle first, linked sets share one of their first n - ceil(0.8 n) + 1 shingles. Classes meet at
    those; candidates pass the length filter, the positional filter at their first common shingle, and the suffix filter
-   (the Hamming bound from the counts in fixed quarters of the hash space), and each pair is verified once.
+   (a lower bound of the Hamming distance from the parities in SKETCH fixed parts of the hash space), all within the
+   join, and each pair is verified once.
 4. Components need no pair inside a component: in each of ROUNDS rounds the classes at a shingle are compared with one
    pivot, and the components merged; shingles whose classes are all connected drop out. A last round compares all pairs
    of different components that still share a prefix shingle, so no link between components is lost.
@@ -34,6 +35,8 @@ from . import tokens as tk
 N_WORDS, PERCENT, ROUNDS = 5, 80, 3
 #: Bytes of text in a block; shingles for a bucket; documents of a block from which a shingle travels as a count.
 BLOCK_BYTES, BUCKET_SHINGLES, LOCAL_HOT = 6 << 20, 1 << 20, 32
+#: Parts of the hash space in the suffix filter, in words of 64.
+SKETCH = 512
 #: Bits of a hash that travel beside the bucket.
 _REST = 40
 _U = np.uint64
@@ -190,7 +193,7 @@ def _answer(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
-_SET = "doc_id long, n long, sign binary, n_shared int, prefix array<long>, offset int, quarters long, packed binary"
+_SET = "doc_id long, n long, sign binary, n_shared int, prefix array<long>, offset int, sketch array<long>, packed binary"
 
 
 def _gather(key: tuple, table: pa.Table) -> pa.Table:
@@ -220,9 +223,10 @@ def _gather(key: tuple, table: pa.Table) -> pa.Table:
     order = np.lexsort((key, df, row))
     row, key = row[order], key[order]
     at = np.searchsorted(row, np.arange(n + 1))
-    quarter = (tk.mix(key) >> _U(62)).astype(np.int64)
-    per = np.zeros((n, 4), np.int64)
-    np.add.at(per, (row, quarter), 1)
+    part = (tk.mix(key) >> _U(32)).astype(np.int64) % SKETCH
+    sketch = np.zeros((n, SKETCH // 64), np.uint64)
+    np.bitwise_xor.at(sketch, (row, part // 64), _U(1) << (part % 64).astype(np.uint64))
+    sketch = sketch.view(np.int64)
     out = []
     for i in range(n):
         size, shared = int(sizes[i]), int(at[i + 1] - at[i])
@@ -231,12 +235,8 @@ def _gather(key: tuple, table: pa.Table) -> pa.Table:
         taken = max(0, min(need - alone, shared)) if size else 0
         mine = key[at[i] : at[i + 1]]
         packed = np.sort(mine).tobytes() if taken else None
-        quarters = 0
-        if taken:
-            for q in per[i].tolist():
-                quarters = (quarters << 15) | min(q, 32767)
-        out.append((None if ids[i] == _NULL else int(ids[i]), size, signs[i].tobytes() if size else None, shared, mine[:taken].astype(np.int64).tolist() if taken else None, alone, quarters, packed))
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.binary()]
+        out.append((None if ids[i] == _NULL else int(ids[i]), size, signs[i].tobytes() if size else None, shared, mine[:taken].astype(np.int64).tolist() if taken else None, alone, sketch[i].tolist() if taken else None, packed))
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64()), pa.binary()]
     return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [x.split()[0] for x in _SET.replace("array<long>", "array").split(", ")])
 
 
@@ -257,17 +257,19 @@ def _need(a: Column, b: Column) -> Column:
 
 
 def _passes(d: str, p: str) -> Column:
-    """Length, positional and suffix filter of a pair, from the columns n_, at_ and q_ of both sides."""
+    """Length, positional and suffix filter of a pair, from the columns n_, at_, alone_ and sketch_ of both sides.
+
+    At the first common shingle of a linked pair the positional filter passes; at later ones it may not, so a pair is a
+    candidate if it passes anywhere.
+    """
     c = F.col
     size = lambda x: c(f"n_{x}")
     need = _need(size(d), size(p))
     length = 100 * F.least(size(d), size(p)) >= PERCENT * F.greatest(size(d), size(p))
     position = F.least(size(d) - c(f"at_{d}"), size(p) - c(f"at_{p}")) >= need
-    quarter = lambda x, k: F.shiftright(c(f"q_{x}"), 15 * k).bitwiseAND(32767)
-    total = sum((quarter(x, k) for x in (d, p) for k in range(4)), F.lit(0))
-    apart = sum((F.abs(quarter(d, k) - quarter(p, k)) for k in range(4)), F.lit(0))
-    full = F.greatest(*[quarter(x, k) for x in (d, p) for k in range(4)]) == 32767
-    return length & position & (full | ((total - apart) / 2 >= need))
+    odd = sum((F.bit_count(F.get(f"sketch_{d}", F.lit(k)).bitwiseXOR(F.get(f"sketch_{p}", F.lit(k)))) for k in range(SKETCH // 64)), F.lit(0))
+    apart = c(f"alone_{d}") + c(f"alone_{p}") + odd
+    return length & position & (apart <= size(d) + size(p) - 2 * need)
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -317,23 +319,25 @@ def _merge(comps: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def linked_components(sets: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(node, comp) of every class of ``sets`` (node, n, prefix, offset, quarters, packed) that links with another."""
-    postings = sets.where(F.size("prefix") > 0).select("node", "n", "offset", "quarters", F.posexplode("prefix").alias("pos", "hash")).select("hash", "node", "n", (F.col("offset") + F.col("pos")).alias("at"), F.col("quarters").alias("q"))
-    postings = materialize(postings)
+    """(node, comp) of every class of ``sets`` (node, n, prefix, offset, sketch, packed) that links with another."""
+    prefixes = sets.where(F.size("prefix") > 0)
+    shared = prefixes.select(F.explode("prefix").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select("hash")
+    postings = prefixes.select("node", "n", "offset", "sketch", F.posexplode("prefix").alias("pos", "hash")).select("hash", "node", "n", (F.col("offset") + F.col("pos")).alias("at"), F.col("offset").alias("alone"), "sketch")
+    postings = materialize(postings.join(shared, "hash", "left_semi"))
     comps, tried = None, None
     for turn in range(rounds + 1):
         held = postings.withColumn("comp", F.col("node")) if comps is None else postings.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        side = lambda x: [F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("at").alias(f"at_{x}"), F.col("q").alias(f"q_{x}"), F.col("comp").alias(f"comp_{x}")]
+        side = lambda x: [F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("at").alias(f"at_{x}"), F.col("alone").alias(f"alone_{x}"), F.col("sketch").alias(f"sketch_{x}"), F.col("comp").alias(f"comp_{x}")]
         if turn < rounds:
             pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), *side("p"))).alias("pivot")
-            runs = held.groupBy("hash").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), pivot).where("low < high").select("hash", "pivot.*")
-            met = held.select("hash", *side("d")).join(runs, "hash")
+            runs = held.groupBy("hash").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), pivot).where("low < high").select(F.col("hash").alias("hash_p"), "pivot.*")
+            met = held.select("hash", *side("d")).join(runs, (F.col("hash") == F.col("hash_p")) & (F.col("comp_d") != F.col("comp_p")) & _passes("d", "p"))
         else:
             active = held.groupBy("hash").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("hash")
             live = held.join(active, "hash", "left_semi")
-            met = live.select("hash", *side("d")).join(live.select("hash", *side("p")), "hash").where("d < p")
-        met = met.where(F.col("comp_d") != F.col("comp_p"))
-        pairs = met.groupBy("d", "p").agg(*[F.min(c).alias(c) for c in ("n_d", "n_p", "at_d", "at_p", "q_d", "q_p")], F.count(F.lit(1)).alias("votes")).where(_passes("d", "p"))
+            other = live.select(F.col("hash").alias("hash_p"), *side("p"))
+            met = live.select("hash", *side("d")).join(other, (F.col("hash") == F.col("hash_p")) & (F.col("d") < F.col("p")) & (F.col("comp_d") != F.col("comp_p")) & _passes("d", "p"))
+        pairs = met.groupBy("d", "p").agg(F.count(F.lit(1)).alias("votes"))
         if turn < rounds:
             pairs = pairs.groupBy("d").agg(F.max_by("p", F.struct("votes", "p")).alias("p"))
         if tried is not None:
@@ -350,7 +354,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of ``docs`` (doc_id, text)."""
     rows = materialize(shared_sets(docs).withColumn("node", F.xxhash64("sign")))
     can = rows.where("prefix is not null")
-    sets = materialize(can.groupBy("sign").agg(*[F.first(c).alias(c) for c in ("node", "n", "offset", "quarters", "prefix", "packed")]))
+    sets = materialize(can.groupBy("sign").agg(*[F.first(c).alias(c) for c in ("node", "n", "offset", "sketch", "prefix", "packed")]))
     comps = linked_components(sets)
     named = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     if comps is not None:
