@@ -43,11 +43,19 @@ def add(a: Column | str, b: Column | str) -> Column:
     return F.zip_with(col(a), col(b), lambda x, y: x + y)
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, also inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unit(a: Column | str, zero: str = "raise") -> Column:
     """The vector at length 1. Zero vectors raise an error, stay as they are (``keep``) or become null (``null``)."""
-    length = norm(a)
-    other = {"raise": F.raise_error(F.lit("a vector has length zero")).cast("array<double>"), "keep": col(a), "null": F.lit(None).cast("array<double>")}[zero]
-    return F.when(length > EXACT, F.transform(col(a), lambda x: x / length)).otherwise(other)
+
+    def scaled(v: Column) -> Column:
+        other = {"raise": F.raise_error(F.lit("a vector has length zero")).cast("array<double>"), "keep": v, "null": F.lit(None).cast("array<double>")}[zero]
+        return let(norm(v), lambda length: F.when(length > EXACT, F.transform(v, lambda x: x / length)).otherwise(other))
+
+    return let(col(a), scaled)
 
 
 def squared_chord(a: Column | str, b: Column | str) -> Column:
@@ -64,20 +72,23 @@ def cosine_distance(a: Column | str, b: Column | str) -> Column:
     return 1 - F.least(F.greatest(dot(a, b), F.lit(-1.0)), F.lit(1.0))
 
 
+def _shares(weights: Column) -> Column:
+    return let(weights, lambda w: let(total(w), lambda t: F.transform(w, lambda x: x / t)))
+
+
 def memberships(d2: Column | str, m: float) -> Column:
     """Fuzzy memberships from squared distances; centers that are matched exactly share everything equally."""
-    d2 = col(d2)
-    least = F.array_min(d2)
-    power = F.transform(d2, lambda x: F.pow(x / least, F.lit(-1.0 / (m - 1))))
-    hits = F.transform(d2, lambda x: F.when(x <= EXACT, 1.0).otherwise(0.0))
-    return F.when(least <= EXACT, F.transform(hits, lambda h: h / total(hits))).otherwise(F.transform(power, lambda p: p / total(power)))
+
+    def of(d: Column) -> Column:
+        hits = F.transform(d, lambda x: F.when(x <= EXACT, 1.0).otherwise(0.0))
+        return let(F.array_min(d), lambda least: F.when(least <= EXACT, _shares(hits)).otherwise(_shares(F.transform(d, lambda x: F.pow(x / least, F.lit(-1.0 / (m - 1)))))))
+
+    return let(col(d2), of)
 
 
 def softmax_negative(d: Column | str) -> Column:
     """Softmax of negative distances, shifted by the smallest."""
-    least = F.array_min(col(d))
-    power = F.transform(col(d), lambda x: F.exp(least - x))
-    return F.transform(power, lambda p: p / total(power))
+    return let(col(d), lambda v: let(F.array_min(v), lambda least: _shares(F.transform(v, lambda x: F.exp(least - x)))))
 
 
 def argmax(u: Column | str) -> Column:
@@ -98,7 +109,7 @@ def gap(u: Column | str) -> Column:
 def normalized_rows(u: Column | str) -> Column:
     """A row of nonnegative weights that sums to 1; negative entries count as 0."""
     clipped = F.transform(col(u), lambda x: F.greatest(x, F.lit(0.0)))
-    return F.when(total(clipped) > 0, F.transform(clipped, lambda x: x / total(clipped))).otherwise(clipped)
+    return let(clipped, lambda c: let(total(c), lambda t: F.when(t > 0, F.transform(c, lambda x: x / t)).otherwise(c)))
 
 
 def finite(x: Column | str) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import clustering, incremental, ranking
+from . import clustering, incremental, ranking, records
 
-_PARTS = (clustering, ranking, incremental)
+_PARTS = (clustering, ranking, incremental, records)
 QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLES: dict = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
 
