@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import clustering, incremental, ranking, records
+from . import clustering, incremental, models, ranking, records
 
 _PARTS = (clustering, ranking, incremental, records)
-QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+QUERIES: dict = {k: v for part in (*_PARTS, models) for k, v in part.QUERIES.items()}
 ORACLES: dict = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
 
 

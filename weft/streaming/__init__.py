@@ -1 +1,149 @@
+"""Incremental maintenance of a clustering: versioned state in Parquet, idempotent micro-batches, Structured Streaming."""
 
+from __future__ import annotations
+
+import json
+import time
+from dataclasses import asdict, dataclass
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import vectors as V
+from ..operators import fcm, incremental as inc
+from ..sources import fingerprint
+
+HISTORY = 256
+
+
+@dataclass
+class Update:
+    """What one micro-batch did."""
+
+    batch_id: str
+    generation: int
+    replay: bool
+    rows: int
+    noise_ratio: float | None
+    alarm: bool
+    recluster: bool
+    refreshed: int
+    movement: float
+
+
+class State:
+    """A flat spherical clustering under a folder: one sub-folder for each generation, and a manifest named last.
+
+    A generation is complete before its manifest is written, and a manifest is never changed, so a reader or a restarted
+    driver sees the last complete generation whatever was lost on the way.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, m: float = 1.2, policy: inc.DriftPolicy = inc.DriftPolicy(), refresh_every: int = 10, noise_distance: float = 1.3):
+        self.spark, self.path, self.m, self.policy, self.refresh_every, self.noise_distance = spark, path.rstrip("/"), m, policy, refresh_every, noise_distance
+
+    def _fs(self):
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def manifest(self) -> dict | None:
+        fs, path = self._fs()
+        if not fs.exists(path):
+            return None
+        found = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path) if "=" in s.getPath().getName() and fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+        return json.loads(self.spark.read.text(f"{self.path}/manifests/gen={found[-1]}").first()[0]) if found else None
+
+    def _save(self, rows: DataFrame, centers: np.ndarray, manifest: dict) -> None:
+        gen = manifest["generation"]
+        rows.write.mode("overwrite").parquet(f"{self.path}/rows/gen={gen}")
+        manifest["centers"] = np.asarray(centers).tolist()
+        self.spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifests/gen={gen}")
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/rows/gen={self.manifest()['generation']}")
+
+    def _score(self, docs: DataFrame, centers: np.ndarray) -> DataFrame:
+        return fcm.e_step(docs.select("id", "x", "pos"), centers, self.m).withColumn("distance", F.sqrt(F.array_min("d2"))).withColumn("is_noise", F.col("distance") > self.noise_distance)
+
+    def fit(self, docs: DataFrame, centers: np.ndarray) -> None:
+        """Start from documents (id, x, pos) and fitted centers."""
+        self._save(self._score(docs, centers), centers, {"generation": 0, "batches": {}, "noise": 0.0, "n": 0.0, "ewma": None, "alarm": False, "cool": 0, "updates": 0})
+
+    def update(self, batch: DataFrame, batch_id: str | None = None) -> Update:
+        """Merge a batch (id, x): replace and append rows, move the centers by the difference, watch for drift.
+
+        A batch that was processed already is answered from the history; other content under its name is an error.
+        """
+        old = self.manifest()
+        if old is None:
+            raise ValueError("fit the state before it is updated")
+        print_ = fingerprint(batch.select("id", "x"))
+        name = (batch_id or f"auto:{print_}").strip()
+        if not 0 < len(name) <= 512:
+            raise ValueError("a batch id has 1 to 512 characters")
+        if name in old["batches"]:
+            seen = old["batches"][name]
+            if seen["fingerprint"] != print_:
+                raise ValueError(f"batch {name!r} was processed with different content")
+            return Update(**{**seen["summary"], "replay": True})
+        centers = np.array(old["centers"])
+        held = self.rows()
+        start = held.agg(F.coalesce(F.max("pos") + 1, F.lit(0))).first()[0]
+        sent = batch.select("id", "x", (F.monotonically_increasing_id() + start).alias("pos"))
+        scored = self._score(sent, centers).persist()
+        stats = scored.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_noise").cast("double")).alias("noise")).first()
+
+        replaced = held.join(sent.select("id"), "id", "left_semi")
+        keep = held.join(sent.select("id"), "id", "left_anti")
+        old_frame = fcm.centers_frame(self.spark, centers).withColumn("path", F.lit(""))
+        sums = inc.apply_delta(inc.statistics(inc.contributions(held, self.m)), inc.contributions(replaced, self.m), inc.contributions(scored, self.m))
+        moved = inc.centers_from_statistics(sums, old_frame).persist()
+        new_centers = np.array([r["center"] for r in moved.orderBy("k").collect()])
+        movement = inc.center_movement(old_frame, moved).persist()
+        largest = movement.agg(F.max("movement")).first()[0] or 0.0
+
+        updates, refreshed = old["updates"] + 1, 0
+        positions = replaced.select("id", F.col("pos").alias("old_pos"))
+        incoming = scored.join(positions, "id", "left").withColumn("pos", F.coalesce("old_pos", "pos")).drop("old_pos")
+        merged = keep.unionByName(incoming)
+        if updates % self.refresh_every == 0:
+            ids = inc.affected_ids(inc.contributions(keep, self.m), movement).select("id")
+            stale = keep.join(ids, "id", "left_semi")
+            refreshed = stale.count()
+            merged = keep.join(ids, "id", "left_anti").unionByName(self._score(stale, new_centers)).unionByName(incoming)
+
+        p = self.policy
+        noise, n, ewma, alarm = old["noise"] + (stats["noise"] or 0.0), old["n"] + stats["n"], old["ewma"], old["alarm"]
+        ratio, evaluated = None, n >= p.min_samples
+        if evaluated:
+            ratio = noise / n
+            ewma = ratio if ewma is None else p.alpha * ratio + (1 - p.alpha) * ewma
+            alarm = not ewma <= p.leave if alarm else ewma > p.enter
+            noise = n = 0.0
+        recluster = evaluated and alarm and old["cool"] == 0
+        if recluster:
+            fresh = merged.select("id", "x", "pos").persist()
+            for _ in range(10):
+                new_centers = fcm.m_step(fresh, new_centers, self.m)[0]
+            merged = self._score(fresh, new_centers)
+        summary = Update(name, old["generation"] + 1, False, int(stats["n"]), ratio, bool(alarm), bool(recluster), refreshed, float(largest))
+        history = dict(sorted({**old["batches"], name: {"fingerprint": print_, "at": time.time(), "summary": asdict(summary)}}.items(), key=lambda e: e[1]["summary"]["generation"])[-HISTORY:])
+        self._save(merged, new_centers, {"generation": summary.generation, "batches": history, "noise": noise, "n": n, "ewma": ewma, "alarm": bool(alarm), "cool": p.cooldown if recluster else max(0, old["cool"] - 1), "updates": updates})
+        scored.unpersist()
+        return summary
+
+    def start(self, stream: DataFrame, checkpoint: str, available_now: bool = True):
+        """Maintain the state from a stream of (id, embedding); a batch that Spark repeats changes nothing."""
+
+        def each(batch: DataFrame, number: int) -> None:
+            if not batch.isEmpty():
+                self.update(batch.select("id", V.doubles("embedding").alias("x")), f"stream:{number}")
+
+        writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def daily_noise(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """Noise and rows for each day of an event stream, with a watermark for late rows."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return timed.groupBy(F.window("ts", "1 day").alias("day")).agg(F.sum(F.when(F.col("event_type") == "error", 1.0).otherwise(0.0)).alias("noise"), F.count(F.lit(1)).alias("n"))
