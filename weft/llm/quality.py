@@ -1,9 +1,9 @@
 """Operator 9, quality rules: repeated substrings found with a suffix array over words.
 
-Each text is a string of words. The suffixes that share their first ``min_repeat`` words with another suffix of the
-same text are sorted by prefix doubling; neighbours' longest common prefixes give the LCP intervals, whose maximal
-repeats are marked, united, and limited by the covered fraction of the words and by the longest repeat. Texts never
-meet each other, so the operator is one pass without a shuffle.
+Each text is a string of words. Texts in which ``min_repeat`` successive words come twice get a suffix array by prefix
+doubling; neighbours' longest common prefixes give the LCP intervals, whose maximal repeats are marked, united, and
+limited by the covered fraction of the words and by the longest repeat. Texts never meet each other, so the operator is
+one pass without a shuffle.
 
 Null and empty texts have no words and fail the word-count rule. A text of any length is handled whole. Repeated rows
 give repeated results. An empty table gives an empty result. Columns other than doc_id and text are not read.
@@ -39,7 +39,7 @@ def _seen_again(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def suffix_array(hashes: np.ndarray, row: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted suffixes that share ``depth`` words with another suffix of their row, and each one's LCP with the next."""
+    """Sorted suffixes of the rows in which a string of ``depth`` words repeats, and each one's LCP with the next."""
     n = len(hashes)
     none = np.zeros(0, np.int64)
     if n < depth:
@@ -49,28 +49,30 @@ def suffix_array(hashes: np.ndarray, row: np.ndarray, depth: int) -> tuple[np.nd
     order, same = _seen_again(keys)
     again = same.copy()
     again[:-1] |= same[1:]
-    live = valid[order[again]]
-    group = np.cumsum(~same[again])
-    if not len(live):
+    touched = np.unique(row[valid[order[again]]])
+    if not len(touched):
         return none, none
-    rank = np.full(2 * n + 1, 0, np.int64)
-    rank[:n] = np.arange(n) + len(live) + 1
-    rank[live] = group
-    step = depth
+    live = np.flatnonzero(np.isin(row, touched))
+    m = len(live)
+    _, rank = np.unique(hashes[live], return_inverse=True)
+    rank = row[live] * (m + 1) + rank
+    step = 0
     while True:
-        nxt = live + step
-        inside = nxt < n
-        tail = np.where(inside, rank[np.minimum(nxt, n)], 0)
-        tail[inside] = np.where(row[nxt[inside]] == row[live[inside]], tail[inside] + 1, 0)
-        order = np.lexsort((tail, rank[live]))
-        live, tail = live[order], tail[order]
-        head = rank[live]
-        fresh = np.ones(len(live), bool)
-        fresh[1:] = (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])
-        rank[live] = np.cumsum(fresh)
-        if fresh.all() or step > n:
+        if step:
+            tail = np.zeros(m, np.int64)
+            inside = row[live[: m - step]] == row[live[step:]] if step < m else np.zeros(0, bool)
+            tail[: len(inside)] = np.where(inside, rank[step:] + 1, 0)
+            rank = rank * (m + 2) + tail
+        order = np.argsort(rank, kind="stable")
+        held = rank[order]
+        fresh = np.zeros(m, bool)
+        fresh[1:] = held[1:] != held[:-1]
+        rank = np.empty(m, np.int64)
+        rank[order] = np.cumsum(fresh)
+        if fresh[1:].all() or step > m:
             break
-        step *= 2
+        step = max(1, 2 * step)
+    live = live[order]
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum(hashes * tk.powers(n), out=prefix[1:])
     ends = np.searchsorted(row, row[live], "right")
@@ -132,6 +134,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, min_repeat: int = MIN_REPEAT)
         reach = np.zeros(len(live), np.int64)
         reach[:-1] = lcp
         reach[1:] = np.maximum(reach[1:], lcp)
+        live, reach = live[reach >= min_repeat], reach[reach >= min_repeat]
         np.maximum.at(longest, row[live], reach)
         np.add.at(cover, live, 1)
         np.add.at(cover, live + reach, -1)
