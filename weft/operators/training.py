@@ -18,6 +18,8 @@ from . import fcm, selection
 
 #: Rows from which starting centers are drawn; a bound on what reaches the driver.
 SEED_ROWS = 4096
+#: Rows times width up to which a fit runs in one task on a copy of the rows.
+LOCAL_CELLS = 4_000_000
 MIN_SEPARATION = 1e-3
 
 
@@ -70,63 +72,120 @@ def plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return x[chosen].copy()
 
 
+def _terms(x: np.ndarray, v: np.ndarray, before: np.ndarray | None, m: float, final: bool) -> list[np.ndarray]:
+    """Weighted sums, weights, (objective, rows, largest change, squared memberships, proxy terms) and sizes of a lane on rows x."""
+    d2 = np.maximum(2 - 2 * x @ v.T, 0)
+    u = fcm.memberships(d2, m)
+    w = u**m
+    stats, sizes = np.zeros(6), np.zeros(len(v))
+    stats[0], stats[1] = (w * d2).sum(), len(x)
+    if before is not None:
+        stats[2] = np.abs(u - fcm.memberships(np.maximum(2 - 2 * x @ before.T, 0), m)).max()
+    if final:
+        label = u.argmax(1)
+        sizes = np.bincount(label, minlength=len(v)).astype(float)
+        stats[3] = (u * u).sum()
+        if len(v) > 1:
+            d = np.sqrt(d2)
+            own = d[np.arange(len(x)), label]
+            d[np.arange(len(x)), label] = np.inf
+            other = d.min(1)
+            top = np.sort(u, 1)
+            gap = np.maximum(top[:, -1] - top[:, -2], 1e-12)
+            stats[4] = ((other - own) / np.maximum(np.maximum(own, other), 1e-12) * gap).sum()
+            stats[5] = gap.sum()
+    return [w.T @ x, w.sum(0), stats, sizes]
+
+
+def _add(old: list[np.ndarray] | None, new: list[np.ndarray]) -> list[np.ndarray]:
+    if old is None:
+        return new
+    change = max(old[2][2], new[2][2])
+    out = [a + b for a, b in zip(old, new, strict=True)]
+    out[2][2] = change
+    return out
+
+
+def _advance(lane: Lane, terms: list[np.ndarray], start: np.ndarray, turn: int, tol: float) -> None:
+    """New centers of a lane from the terms of a pass."""
+    total, weight, stats, _ = terms
+    new = fcm.unit_rows(total.reshape(lane.k, -1))
+    empty = (weight <= 1e-12) | (np.abs(new).sum(1) == 0)
+    if empty.any():
+        new[empty] = plus_plus(start, int(empty.sum()), np.random.default_rng(lane.seed + turn + 1))
+    lane.iterations, lane.objective = turn + 1, stats[0] / max(stats[1], 1)
+    stable = lane.previous is not None and stats[2] < tol
+    lane.previous, lane.centers = lane.centers, new
+    # a fit whose centers have met cannot become valid again
+    lane.done = stable or (turn >= 5 and lane.k > 1 and lane.separation < MIN_SEPARATION)
+
+
+def _finish(lane: Lane, terms: list[np.ndarray]) -> None:
+    _, _, stats, sizes = terms
+    n = max(stats[1], 1)
+    lane.objective, lane.rows, lane.sizes, lane.pc = stats[0] / n, int(stats[1]), sizes, stats[3] / n
+    lane.proxy = stats[4] / stats[5] if stats[5] else 0.0
+
+
 def _pass(docs: DataFrame, lanes: list[tuple[int, Lane]], final: bool) -> dict[int, list[np.ndarray]]:
-    """Sums of one pass: for each lane weighted sums, weights, and (objective, rows, largest change, pc, proxy terms, sizes)."""
+    """The terms of every lane over all documents."""
     sent = [(i, lane.node, lane.centers, lane.previous, lane.m) for i, lane in lanes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {i: [np.zeros_like(v), np.zeros(len(v)), np.zeros(6), np.zeros(len(v))] for i, _, v, _, _ in sent}
+        held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             node, every = batch.column(0).to_numpy(), fcm.unit_rows(fcm.matrix(batch.column(1)))
             for i, n, v, before, m in sent:
                 x = every[node == n]
-                if not len(x):
-                    continue
-                d2 = np.maximum(2 - 2 * x @ v.T, 0)
-                u = fcm.memberships(d2, m)
-                w = u**m
-                h = held[i]
-                h[0] += w.T @ x
-                h[1] += w.sum(0)
-                h[2][0] += (w * d2).sum()
-                h[2][1] += len(x)
-                if before is not None:
-                    h[2][2] = max(h[2][2], np.abs(u - fcm.memberships(np.maximum(2 - 2 * x @ before.T, 0), m)).max())
-                if final:
-                    label = u.argmax(1)
-                    h[3] += np.bincount(label, minlength=len(v))
-                    h[2][3] += (u * u).sum()
-                    if len(v) > 1:
-                        d = np.sqrt(d2)
-                        own = d[np.arange(len(x)), label]
-                        d[np.arange(len(x)), label] = np.inf
-                        other = d.min(1)
-                        top = np.sort(u, 1)
-                        gap = np.maximum(top[:, -1] - top[:, -2], 1e-12)
-                        h[2][4] += ((other - own) / np.maximum(np.maximum(own, other), 1e-12) * gap).sum()
-                        h[2][5] += gap.sum()
-        rows = [(i, h[0].ravel().tolist(), h[1].tolist(), h[2].tolist(), h[3].tolist()) for i, h in held.items() if h[2][1]]
+                if len(x):
+                    held[i] = _add(held.get(i), _terms(x, v, before, m, final))
+        rows = [(i, *(a.ravel().tolist() for a in h)) for i, h in held.items()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["lane", "sums", "weight", "stats", "sizes"])
 
     # one row of K x d numbers for each lane and partition reaches the driver
     out: dict[int, list[np.ndarray]] = {}
     for r in docs.select("node", "x").mapInArrow(run, "lane long, sums array<double>, weight array<double>, stats array<double>, sizes array<double>").collect():
-        new = [np.array(r[c]) for c in ("sums", "weight", "stats", "sizes")]
-        if r["lane"] in out:
-            old = out[r["lane"]]
-            change = max(old[2][2], new[2][2])
-            out[r["lane"]] = [a + b for a, b in zip(old, new, strict=True)]
-            out[r["lane"]][2][2] = change
-        else:
-            out[r["lane"]] = new
+        out[r["lane"]] = _add(out.get(r["lane"]), [np.array(r[c]) for c in ("sums", "weight", "stats", "sizes")])
     return out
 
 
-def fit_lanes(docs: DataFrame, lanes: list[Lane], max_iter: int = 60, tol: float = 1e-4) -> list[Lane]:
-    """Fit all lanes over ``docs`` (id, node, x); x need not be normalised."""
+def _fit_small(docs: DataFrame, lanes: list[Lane], starts: dict[int, np.ndarray], max_iter: int, tol: float) -> None:
+    """Fit each lane in a task of its own on a copy of all rows, which are bounded by LOCAL_CELLS: one job in all."""
+    held = docs.select("node", "x").toArrow()
+    node, x = held.column(0).to_numpy(), fcm.unit_rows(fcm.matrix(held.column(1)))
+    sent = docs.sparkSession.sparkContext.broadcast((node, x, starts, lanes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pickle
+
+        node, x, starts, lanes = sent.value
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                lane = lanes[i]
+                mine = x[node == lane.node]
+                for turn in range(max_iter):
+                    if lane.done:
+                        break
+                    _advance(lane, _terms(mine, lane.centers, lane.previous, lane.m, False), starts[lane.node], turn, tol)
+                if len(lane.centers) == lane.k:
+                    _finish(lane, _terms(mine, lane.centers, None, lane.m, True))
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([pickle.dumps(lane)])], ["id", "lane"])
+
+    import pickle
+
+    ids = docs.sparkSession.range(0, len(lanes), 1, min(len(lanes), 64))
+    for r in ids.mapInArrow(run, "id long, lane binary").collect():
+        lanes[r["id"]].__dict__.update(pickle.loads(bytes(r["lane"])).__dict__)
+
+
+def fit_lanes(docs: DataFrame, lanes: list[Lane], max_iter: int = 60, tol: float = 1e-4, local_cells: int = LOCAL_CELLS) -> list[Lane]:
+    """Fit all lanes over ``docs`` (id, node, x); x need not be normalised.
+
+    Up to ``local_cells`` numbers every lane runs in one task; beyond, all lanes advance together, one job an iteration.
+    """
     docs = docs.select("id", "node", "x").persist()
     starts = seed_rows(docs)
     for lane in lanes:
@@ -135,29 +194,21 @@ def fit_lanes(docs: DataFrame, lanes: list[Lane], max_iter: int = 60, tol: float
             lane.done, lane.centers = True, x[:1] if len(x) else np.zeros((1, 1))
         else:
             lane.centers = plus_plus(x, lane.k, np.random.default_rng(lane.seed))
+    cells = docs.agg(F.sum(F.size("x"))).first()[0] or 0
+    if cells <= local_cells:
+        _fit_small(docs, lanes, starts, max_iter, tol)
+        docs.unpersist()
+        return lanes
     for turn in range(max_iter):
         active = [(i, lane) for i, lane in enumerate(lanes) if not lane.done]
         if not active:
             break
-        sums = _pass(docs, active, False)
+        terms = _pass(docs, active, False)
         for i, lane in active:
-            total, weight, stats, _ = sums[i]
-            new = fcm.unit_rows(total.reshape(lane.k, -1))
-            empty = (weight <= 1e-12) | (np.abs(new).sum(1) == 0)
-            if empty.any():
-                new[empty] = plus_plus(starts[lane.node], int(empty.sum()), np.random.default_rng(lane.seed + turn + 1))
-            lane.iterations = turn + 1
-            lane.objective = stats[0] / max(stats[1], 1)
-            stable = lane.previous is not None and stats[2] < tol
-            lane.previous, lane.centers = lane.centers, new
-            # a fit whose centers have met cannot become valid again
-            lane.done = stable or (turn >= 5 and lane.k > 1 and lane.separation < MIN_SEPARATION)
-    final = [(i, lane) for i, lane in enumerate(lanes) if lane.centers is not None and len(lane.centers) == lane.k]
-    for i, (_, _, stats, sizes) in (_pass(docs, final, True) if final else {}).items():
-        lane = lanes[i]
-        n = max(stats[1], 1)
-        lane.objective, lane.rows, lane.sizes, lane.pc = stats[0] / n, int(stats[1]), sizes, stats[3] / n
-        lane.proxy = stats[4] / stats[5] if stats[5] else 0.0
+            _advance(lane, terms[i], starts[lane.node], turn, tol)
+    final = [(i, lane) for i, lane in enumerate(lanes) if len(lane.centers) == lane.k]
+    for i, terms in (_pass(docs, final, True) if final else {}).items():
+        _finish(lanes[i], terms)
     docs.unpersist()
     return lanes
 
