@@ -209,7 +209,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """(key, size, start, stop) of byte spans that are repeated, for ``docs`` (key, size, text); they may overlap."""
     anchors = materialize(docs.select("key", "text").mapInArrow(_find_anchors(length), _ANCHOR))
-    twice = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    # a table of its own, so that the join below can split a gram that very many documents hold
+    twice = materialize(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
     anchors = materialize(anchors.join(twice, "gram", "left_semi"))
     classes = materialize(anchors.groupBy("gram", "segment").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "size", "first", "windows", "place")).alias("one")))
     equal = anchors.join(classes.where("n > 1").select("gram", "segment"), ["gram", "segment"], "left_semi")
