@@ -4,7 +4,8 @@ A template is a licence wording with markup: ``[[ ... ]]`` encloses an optional
 replaceable region of a to b words of any kind. Each template is compiled into an automaton over words, which accepts a
 run of successive words if the mandatory wording matches exactly and in full. Words are lower-cased (A-Z only) ASCII
 letters and digits and everything outside ASCII. A template's longest mandatory phrase is looked for first, so that
-the automaton runs only near places that can match.
+the automaton runs only near places that can match. The score is 1 where a template is accepted, 0.5 where only a base
+phrase stands, else 0.
 
 Null and empty texts give zero counts, null positions and empty labels. Texts are scanned whole. Repeated rows give
 repeated results, an empty table an empty result; only doc_id and text are read.
@@ -130,31 +131,22 @@ def scan(text: bytes, automata: dict[str, Automaton]) -> tuple:
     if not words:
         return 0, 0, None, None, "", "", 0.0
     flat = b" " + b" ".join(words) + b" "
-    base, spans, base_labels = [], [], set()
+    base, base_labels, accepted = [], set(), set()
     for phrase, label in PHRASES.items():
         found = _places(flat, b" " + phrase.encode() + b" ")
         if found:
             base_labels.add(label)
             base += found
-            spans += [(at, at + phrase.count(" ") + 1) for at in found]
-    labels = set(base_labels)
     for label, automaton in automata.items():
-        for at in _places(flat, automaton.anchor):
-            for start in range(max(0, at - automaton.reach), at + 1):
-                end = automaton.match(words, start)
-                if end > at:
-                    labels.add(label)
-                    spans.append((start, end))
-                    break
-    covered, reached = 0, 0
-    for start, end in sorted(spans):
-        covered += max(0, end - max(start, reached))
-        reached = max(reached, end)
-    return len(words), len(base), min(base, default=None), max(base, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), covered / len(words)
+        starts = (start for at in _places(flat, automaton.anchor) for start in range(max(0, at - automaton.reach), at + 1))
+        if any(automaton.match(words, start) > start for start in starts):
+            accepted.add(label)
+    score = 1.0 if accepted else 0.5 if base else 0.0
+    return len(words), len(base), min(base, default=None), max(base, default=None), ",".join(sorted(base_labels)), ",".join(sorted(base_labels | accepted)), score
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """One row of places, labels and covered share for each row of ``docs`` (doc_id, text)."""
+    """One row of places, labels and score for each row of ``docs`` (doc_id, text)."""
     wordings = dict(TEMPLATES if templates is None else templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, dedup_substrings, jaccard, licenses, mixing, pii, quality, secrets, toxicity
+from . import chat, decontaminate, dedup_substrings, jaccard, licenses, mixing, oracles, pii, quality, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,7 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality counts and verdict of every document."""
-    return quality.quality_rules(_table(spark, sf_dir, "documents"))
+    return quality.quality_rules(_table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +63,4 @@ def op10_dedup_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_pii": op1_pii, "op2_mix_sources": op2_mix_sources, "op3_license_scan": op3_license_scan, "op4_toxicity": op4_toxicity, "op5_chat_format": op5_chat_format, "op6_jaccard_join": op6_jaccard_join, "op7_secret_scan": op7_secret_scan, "op8_decontaminate": op8_decontaminate, "op9_quality_rules": op9_quality_rules, "op10_dedup_substrings": op10_dedup_substrings}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
