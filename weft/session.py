@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def build_session(app: str = "weft", master: str | None = None, **conf: str) -> SparkSession:
@@ -52,3 +52,8 @@ def discard(df: DataFrame) -> None:
         root = name[: name.index("/weft-") + len("/weft-") + 32]
         path = jvm.org.apache.hadoop.fs.Path(root)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A 64-bit hash of a row by all its columns; a null counts by the column it is in."""
+    return F.xxhash64(*[x for c in df.columns for x in (F.col(c), F.col(c).isNull())])
