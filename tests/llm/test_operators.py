@@ -125,8 +125,8 @@ def test_jaccard_components(docs, rows, monkeypatch, block, bucket, hot):
 
 
 def test_one_representative_for_each_component(docs, rows):
-    kept = jaccard.representatives(docs)
-    assert kept.columns == docs.columns
+    kept = jaccard.representatives(clash(docs))
+    assert kept.columns == clash(docs).columns and kept.where("node = 'odd'").count() == kept.count()
     root = brute_components(rows)[1]
     assert kept.count() == len({r if words(row[1]) else (row[0], row[1], row[3:]) for r, row in zip(root, rows, strict=True)})
 
@@ -214,7 +214,9 @@ def test_ownership_separates_examples(spark):
     got = {r["doc_id"]: r for r in secrets.secret_scan(df).collect()}
     assert (got[1]["n_live"], got[10]["n_live"], got[10]["n_example"]) == (1, 0, 1)
     assert got[20]["spans"] == "live:0:44" and got[20]["n_hex"] == 0
-    masked = {r["doc_id"]: r["text"] for r in secrets.mask_secrets(df).collect()}
+    odd = secrets.mask_secrets(clash(df)).collect()
+    masked = {r["doc_id"]: r["text"] for r in odd}
+    assert all(r[c] == "odd" for r in odd for c in CLASHING)
     assert masked[1] == "[SECRET]" and masked[2] == "x [SECRET]" and masked[10] == example and masked[21] is None
 
 

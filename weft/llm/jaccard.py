@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import discard, materialize
+from ..session import discard, materialize, row_hash
 from . import tokens as tk
 
 N_WORDS, PERCENT, ROUNDS = 5, 80, 3
@@ -369,7 +369,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 def representatives(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component: that of the smallest doc_id, with all its columns."""
-    keyed = docs.withColumn("__key", F.xxhash64(*docs.columns))
+    keyed = docs.withColumn("__key", row_hash(docs))
     comps = jaccard_components(keyed.select(F.col("__key").alias("doc_id"), "text")).select(F.col("doc_id").alias("__key"), "component_id").distinct()
     ids = keyed.select("__key", "doc_id").distinct().join(comps, "__key")
     chosen = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("first")).select("first.__key")

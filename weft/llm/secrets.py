@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import materialize
+from ..session import materialize, row_hash
 from . import spans as sp
 
 #: A value looks live while it is in at most so many repositories and of so many owners.
@@ -65,9 +65,9 @@ def _columns(docs: DataFrame) -> list[Column]:
 
 def mask_secrets(docs: DataFrame, mask: str = "[SECRET]", max_repositories: int = MAX_REPOSITORIES, max_owners: int = MAX_OWNERS) -> DataFrame:
     """``docs`` with the candidates that look live masked in the text, and n_chars, if there, brought up to date."""
-    keyed = docs.withColumn("row", F.xxhash64(*docs.columns))
-    rows = materialize(keyed.select("row", *_columns(docs)).where(F.size("found") > 0).dropDuplicates(["row"]))
-    live = _judge(rows, max_repositories, max_owners).select("row", F.filter("found", lambda c: c["live"]).alias("live")).where(F.size("live") > 0)
+    keyed = docs.withColumn("__row", row_hash(docs))
+    rows = materialize(keyed.select(F.col("__row").alias("row"), *_columns(docs)).where(F.size("found") > 0).dropDuplicates(["row"]))
+    live = _judge(rows, max_repositories, max_owners).select(F.col("row").alias("__row"), F.filter("found", lambda c: c["live"]).alias("__live")).where(F.size("__live") > 0)
 
     def cut(acc: Column, c: Column) -> Column:
         fresh = c["start"] >= acc["at"]
@@ -75,10 +75,10 @@ def mask_secrets(docs: DataFrame, mask: str = "[SECRET]", max_repositories: int
         return F.struct(F.greatest(acc["at"], c["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("live", start, cut, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2147483647))))
-    out = keyed.join(live, "row", "left").withColumn("text", F.when(F.col("live").isNotNull(), masked).otherwise(F.col("text")))
+    masked = F.aggregate("__live", start, cut, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2147483647))))
+    out = keyed.join(live, "__row", "left").withColumn("text", F.when(F.col("__live").isNotNull(), masked).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("live").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("__live").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
 
 
