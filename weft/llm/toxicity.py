@@ -143,7 +143,17 @@ def _fit(row: np.ndarray, col: np.ndarray, n_cols: int, earlier: np.ndarray, y:
 def train(rows: np.ndarray, hashes: np.ndarray, toxic: np.ndarray, fold: np.ndarray, max_features: int = MAX_FEATURES, penalty: float = PENALTY) -> Chain:
     """Fit the chain on rows numbered from 0 with the labels ``toxic``; ``rows`` and ``hashes`` list their distinct features."""
     n = len(toxic)
-    names, inverse = np.unique(hashes, return_inverse=True)
+    # features of too few rows go first: most hashes are in one row only
+    held = np.sort(hashes)
+    often = held[MIN_ROWS - 1 :][held[MIN_ROWS - 1 :] == held[: max(0, len(held) - MIN_ROWS + 1)]] if len(held) else held
+    marks = {k: rows[np.isin(hashes, np.array([_word_hash(w) for w in v.split()], np.uint64))] for k, v in CATEGORIES.items()}
+    del held
+    names = np.unique(often)
+    at = np.searchsorted(names, hashes)
+    at[at == len(names)] = 0
+    kept = names[at] == hashes if len(names) else np.zeros(len(hashes), bool)
+    rows, inverse = rows[kept], at[kept]
+    del hashes, at, kept
     with_toxic = np.bincount(inverse, toxic[rows].astype(float), len(names)) if len(rows) else np.zeros(0)
     df = np.bincount(inverse, minlength=len(names))
     share = toxic.mean() if n else 0.0
@@ -162,9 +172,8 @@ def train(rows: np.ndarray, hashes: np.ndarray, toxic: np.ndarray, fold: np.ndar
         if name == "toxic":
             y = toxic.astype(float)
         else:
-            marks = np.isin(hashes, np.array([_word_hash(w) for w in CATEGORIES[name].split()], np.uint64))
             y = np.zeros(n)
-            y[rows[marks]] = 1
+            y[marks[name]] = 1
             y *= toxic
         out_of_fold = np.zeros(n)
         if name != CHAIN[-1]:
@@ -183,7 +192,7 @@ def train(rows: np.ndarray, hashes: np.ndarray, toxic: np.ndarray, fold: np.ndar
 def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """fold, toxic and the distinct features (packed) of the sampled labelled documents."""
     chosen = labels.where("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_train)
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FOLDS)).cast("int").alias("fold"), "toxic", "text")
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FOLDS)).cast("int").alias("fold"), "toxic", F.xxhash64("doc_id", "text").alias("place"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,19 +204,24 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
                 fresh[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
                 rows, hashes = rows[fresh], hashes[fresh]
                 at = np.searchsorted(rows, np.arange(part.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([hashes[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["fold", "toxic", "features"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([hashes[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["fold", "toxic", "place", "features"])
 
     tk.batch_conf(docs.sparkSession)
-    return joined.mapInArrow(run, "fold int, toxic int, features binary")
+    return joined.mapInArrow(run, "fold int, toxic int, place long, features binary")
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Chain:
     """Fit the chain on the driver; at most ``max_train`` labels reach it."""
-    held = sorted((r["fold"], r["toxic"], bytes(r["features"])) for r in training_rows(docs, labels, max_train).collect())
-    parts = [np.frombuffer(f, np.uint64) for _, _, f in held]
-    rows = np.repeat(np.arange(len(held)), [len(p) for p in parts]) if held else np.zeros(0, np.int64)
-    hashes = np.concatenate(parts) if held else np.zeros(0, np.uint64)
-    return train(rows, hashes, np.array([t > 0 for _, t, _ in held], bool), np.array([f for f, _, _ in held], np.int64))
+    table = training_rows(docs, labels, max_train).toArrow()
+    # in an order of its own, whatever the tasks' order, so that reruns agree
+    order = np.lexsort((table.column("toxic").to_numpy(), table.column("place").to_numpy()))
+    table = table.take(pa.array(order)).combine_chunks()
+    packed = table.column("features").combine_chunks() if table.num_rows else None
+    sizes = np.array([len(v) // 8 for v in packed.to_pylist()] if packed is not None else [], np.int64)
+    hashes = np.frombuffer(b"".join(packed.to_pylist()), np.uint64) if packed is not None else np.zeros(0, np.uint64)
+    fold, toxic = table.column("fold").to_numpy(), table.column("toxic").to_numpy() > 0
+    del table, packed
+    return train(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), hashes, toxic, fold)
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
