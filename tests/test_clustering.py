@@ -148,6 +148,27 @@ def test_linkage_cut_and_match():
     assert sum(cost[r, c] for r, c in density.match(cost)) == 5
 
 
+def test_spanning_tree_in_tasks(spark):
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(c, 0.2, (400, 3)) for c in (0, 2, 5)] + [np.ones((60, 3)), rng.uniform(-2, 7, (140, 3))])
+    near, far = density.spanning_tree(spark, x, 5), density.mutual_reachability_tree(x, 5)
+    assert len(near) == len(x) - 1 and np.allclose(near[:, 2], far[:, 2], atol=1e-6)
+    assert (density.hdbscan(x, 10, 5, spark=spark) == density.hdbscan(x, 10, 5)).mean() > 0.99
+    assert density.spanning_tree(spark, x[:2], 5).shape == (1, 3)
+
+
+def test_hdbscan_fit_labels_all_rows(spark, tmp_path):
+    from weft.plans import models
+
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(0, 0.05, (3100, 12)) + np.eye(12)[b] for b in range(2)])
+    spark.createDataFrame([(i, i // 3100, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["id"]: r["cluster"] for r in models.hdbscan_fit(spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(6200))
+    sides = [{got[i] for i in range(a, a + 3100)} - {-1} for a in (0, 3100)]
+    assert all(sides) and not sides[0] & sides[1]
+
+
 def test_hdbscan_blobs():
     rng = np.random.default_rng(0)
     x = np.vstack([rng.normal(0, 0.05, (30, 2)), rng.normal(3, 0.05, (30, 2)), [[12, -9]]])

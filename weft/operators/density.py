@@ -1,16 +1,22 @@
-"""Density clustering of a bounded set, linkage of leaf centers, and optimal matching of clusters.
+"""Density clustering, linkage of leaf centers, and optimal matching of clusters.
 
-HDBSCAN builds a spanning tree over all pairs, so it takes at most MAX_ROWS rows (a parameter); larger collections are
-clustered on a sample and assigned with soft.soft_reassignment.
+``hdbscan`` holds all pairs of at most MAX_ROWS rows in memory. ``spanning_tree`` builds the same tree for any number of rows
+in tasks: pairs are compared in blocks and never held. The compared vectors, NEAR neighbours of each row and the tree (one
+edge a row) are on the driver; the work grows with the square of the rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import SparkSession
 
 MAX_ROWS = 5000
+#: Neighbours kept for each row of a spanning tree, rows of a task's block and columns compared at a time.
+NEAR, BLOCK, STRIPE = 16, 512, 2048
 
 
 def mutual_reachability_tree(x: np.ndarray, min_samples: int) -> np.ndarray:
@@ -31,14 +37,120 @@ def mutual_reachability_tree(x: np.ndarray, min_samples: int) -> np.ndarray:
     return np.array(sorted(edges, key=lambda e: (e[2], e[0], e[1])), float).reshape(-1, 3)
 
 
-def hdbscan(x: np.ndarray, min_cluster_size: int = 5, min_samples: int | None = None, method: str = "eom") -> np.ndarray:
-    """Labels (-1: noise) by excess of mass or by leaves."""
+def _wide(x: np.ndarray, base: bool) -> np.ndarray:
+    """Rows whose products with those of the other kind are squared distances."""
+    square, one = (x * x).sum(1)[:, None], np.ones((len(x), 1))
+    return np.hstack([-2 * x, one, square]) if base else np.hstack([x, square, one])
+
+
+def _nearest(wide: np.ndarray, rows: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances and numbers of the k nearest other rows, in order."""
+    mine = _wide(x[rows], False)
+    best_d, best_i = np.zeros((len(rows), 0)), np.zeros((len(rows), 0), np.int64)
+    for a in range(0, len(wide), STRIPE):
+        d = mine @ wide[a : a + STRIPE].T
+        inside = np.flatnonzero((rows >= a) & (rows < a + d.shape[1]))
+        d[inside, rows[inside] - a] = np.inf
+        i = np.argpartition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+        d, i = np.hstack([best_d, np.take_along_axis(d, i, 1)]), np.hstack([best_i, i + a])
+        order = np.lexsort((i, d), axis=1)[:, :k]
+        best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+    return np.maximum(best_d, 0), best_i
+
+
+def _outside(wide: np.ndarray, rows: np.ndarray, x: np.ndarray, core: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared mutual reachability and number of the nearest row of another part."""
+    mine, own = _wide(x[rows], False), part[rows]
+    best_d, best_i = np.full(len(rows), np.inf), np.zeros(len(rows), np.int64)
+    for a in range(0, len(wide), STRIPE):
+        d = mine @ wide[a : a + STRIPE].T
+        np.maximum(d, core[a : a + STRIPE], out=d)
+        d[own[:, None] == part[a : a + STRIPE]] = np.inf
+        at = d.argmin(1)
+        found = d[np.arange(len(rows)), at]
+        closer = found < best_d
+        best_d[closer], best_i[closer] = found[closer], at[closer] + a
+    return np.maximum(best_d, core[rows]), best_i
+
+
+def _in_tasks(spark: SparkSession, rows: np.ndarray, work, sent) -> tuple[np.ndarray, np.ndarray]:
+    """``work`` (distances, numbers) on blocks of rows, in tasks, put together in the sequence of ``rows``."""
+    blocks = -(-len(rows) // BLOCK)
+    picked = spark.sparkContext.broadcast(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sent.value
+        wide = _wide(held[0], True)
+        for batch in batches:
+            for b in batch.column(0).to_pylist():
+                d, i = work(wide, picked.value[b * BLOCK : (b + 1) * BLOCK], *held)
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([d.astype(float).tobytes()]), pa.array([i.astype(np.int64).tobytes()])], ["block", "d", "i"])
+
+    tasks = min(blocks, 4 * spark.sparkContext.defaultParallelism)
+    out = spark.range(0, blocks, 1, tasks).mapInArrow(run, "block long, d binary, i binary").collect()
+    out.sort(key=lambda r: r["block"])
+    picked.destroy()
+    return np.frombuffer(b"".join(r["d"] for r in out)), np.frombuffer(b"".join(r["i"] for r in out), np.int64)
+
+
+def spanning_tree(spark: SparkSession, x: np.ndarray, min_samples: int) -> np.ndarray:
+    """Edges as of mutual_reachability_tree, by Boruvka's algorithm: each round joins every part but the largest to its nearest other.
+
+    A row's kept neighbours settle its nearest outside row while that is no farther than the last of them. Only rows that could
+    still improve on what their part has are compared with all rows.
+    """
+    n = len(x)
+    k = min(max(NEAR, min_samples), n - 1)
+    sent = spark.sparkContext.broadcast((x, k))
+    d, near = (v.reshape(n, k) for v in _in_tasks(spark, np.arange(n), lambda wide, rows, x, k: _nearest(wide, rows, x, k), sent))
+    sent.destroy()
+    core = d[:, min(min_samples, n - 1) - 1].copy()
+    bound = d[:, -1].copy()  # no row beyond the kept ones is nearer
+    reach = np.maximum(np.maximum(d, core[:, None]), core[near])
+    part, edges, every = np.arange(n), [], np.arange(n)
+    while len(edges) < n - 1:
+        open_ = np.where(part[near] != part[:, None], reach, np.inf)
+        at = open_.argmin(1)
+        least, to = open_[every, at], near[every, at]
+        best = np.full(n, np.inf)
+        np.minimum.at(best, part, least)
+        largest = np.bincount(part).argmax()
+        rows = np.flatnonzero((bound < best[part]) & (part != largest))
+        if len(rows):
+            sent = spark.sparkContext.broadcast((x, core, part))
+            least[rows], to[rows] = _in_tasks(spark, rows, _outside, sent)
+            sent.destroy()
+            bound[rows] = least[rows]
+        order = np.lexsort((np.maximum(every, to), np.minimum(every, to), least))
+        order = order[part[order] != largest]
+        _, first = np.unique(part[order], return_index=True)
+        root = np.arange(n)
+
+        def find(a: int, root=root) -> int:
+            while root[a] != a:
+                root[a] = root[root[a]]
+                a = root[a]
+            return a
+
+        for i in order[np.sort(first)].tolist():  # by distance, so that equal ones close no circle
+            a, b = find(part[i]), find(part[to[i]])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                edges.append((i, int(to[i]), float(np.sqrt(least[i]))))
+        while (root != root[root]).any():
+            root = root[root]
+        part = root[part]
+    return np.array(sorted(edges, key=lambda e: (e[2], e[0], e[1])), float).reshape(-1, 3)
+
+
+def hdbscan(x: np.ndarray, min_cluster_size: int = 5, min_samples: int | None = None, method: str = "eom", spark: SparkSession | None = None) -> np.ndarray:
+    """Labels (-1: noise) by excess of mass or by leaves; with a session the tree is built in tasks, over any number of rows."""
     n = len(x)
-    if n > MAX_ROWS:
-        raise ValueError(f"{n} rows, at most {MAX_ROWS}")
+    if n > MAX_ROWS and spark is None:
+        raise ValueError(f"{n} rows, at most {MAX_ROWS} without a session")
     if n < max(2, min_cluster_size):
         return np.full(n, -1)
-    edges = mutual_reachability_tree(x, min_samples or min_cluster_size)
+    edges = spanning_tree(spark, x, min_samples or min_cluster_size) if spark else mutual_reachability_tree(x, min_samples or min_cluster_size)
     # single linkage: node n + i joins two nodes at edges[i]
     top, left, right, size = list(range(n)), {}, {}, {i: 1 for i in range(n)}
     root_of = list(range(n))

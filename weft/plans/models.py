@@ -108,10 +108,10 @@ def online_refine(spark, sf_dir):
 
 @_query
 def hdbscan_fit(spark, sf_dir):
-    """Density clusters of a bounded sample of projected rows."""
+    """Density clusters of all rows, projected."""
     docs = T.embeddings(spark, sf_dir)
-    held = pca.project(docs, pca.fit(docs, 8)).orderBy(F.xxhash64("id"), "id").limit(density.MAX_ROWS).select("id", "projected").toArrow()
-    labels = density.hdbscan(fcm.matrix(held.column(1)), 10, 5)
+    held = pca.project(docs, pca.fit(docs, 8)).orderBy(F.xxhash64("id"), "id").select("id", "projected").toArrow()
+    labels = density.hdbscan(fcm.matrix(held.column(1)), 10, 5, spark=spark)
     return spark.createDataFrame([(int(i), int(c)) for i, c in zip(held.column(0).to_pylist(), labels, strict=True)], "id long, cluster long")
 
 
