@@ -148,6 +148,17 @@ def test_linkage_cut_and_match():
     assert sum(cost[r, c] for r, c in density.match(cost)) == 5
 
 
+def test_stability_counts_all_rows(spark):
+    x = fcm.unit_rows(np.random.default_rng(2).normal(0, 1, (training.SEED_ROWS + 2000, 4)))
+    docs = spark.createDataFrame([(i, 0, [float(v) for v in r]) for i, r in enumerate(x)], "id long, node long, x array<double>").repartition(3)
+    frame, _ = training.candidates(docs, [3], n_init=3, max_iter=3)
+    lanes = training.fit_lanes(docs, [training.Lane(0, 3, 42 + 1009 * 3 + 1009 * i, 1.2) for i in range(3)], 3)
+    labels = [(x @ v.centers.T).argmax(1) for v in lanes]
+    pairs = [training.adjusted_rand(labels[i], labels[j]) for i, j in ((0, 1), (0, 2), (1, 2))]
+    assert max(pairs) < 0.99 and abs(frame.first()["stability"] - np.mean(pairs)) < 1e-9
+    assert training.stability(docs, [lanes[:1], []]) == [0.0, 0.0]
+
+
 def test_spanning_tree_in_tasks(spark):
     rng = np.random.default_rng(8)
     x = np.vstack([rng.normal(c, 0.2, (400, 3)) for c in (0, 2, 5)] + [np.ones((60, 3)), rng.uniform(-2, 7, (140, 3))])

@@ -225,17 +225,49 @@ def adjusted_rand(a: np.ndarray, b: np.ndarray) -> float:
     _, y = np.unique(b, return_inverse=True)
     table = np.zeros((x.max() + 1, y.max() + 1))
     np.add.at(table, (x, y), 1)
+    return _table_rand(table)
+
+
+def _table_rand(table: np.ndarray) -> float:
+    """Adjusted Rand index from the counts of label pairs."""
     pairs = lambda t: (t * (t - 1) / 2).sum()
-    both, mine, theirs, every = pairs(table), pairs(table.sum(1)), pairs(table.sum(0)), pairs(np.array([len(a)], float))
+    both, mine, theirs, every = pairs(table), pairs(table.sum(1)), pairs(table.sum(0)), pairs(table.sum(keepdims=True))
     expected, highest = mine * theirs / max(every, 1), (mine + theirs) / 2
     return 1.0 if highest == expected else float((both - expected) / (highest - expected))
 
 
-def stability(lanes: list[Lane], sample: np.ndarray) -> float:
-    """Mean pairwise agreement of fits on the seed rows; 0 below two fits."""
-    labels = [(sample @ x.centers.T).argmax(1) for x in lanes]
-    pairs = [adjusted_rand(labels[i], labels[j]) for i in range(len(labels)) for j in range(i + 1, len(labels))]
-    return float(np.mean(pairs)) if pairs else 0.0
+def stability(docs: DataFrame, groups: list[list[Lane]]) -> list[float]:
+    """Mean pairwise agreement of the fits of each group on all rows of their node; 0 below two fits.
+
+    One pass for all groups: K x K counts for each pair of fits and partition reach the driver.
+    """
+    sent = [(g, lanes[0].node, [x.centers for x in lanes]) for g, lanes in enumerate(groups) if len(lanes) > 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int, int], np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node, every = batch.column(0).to_numpy(), fcm.unit_rows(fcm.matrix(batch.column(1)))
+            for g, n, centers in sent:
+                x = every[node == n]
+                labels = [(x @ v.T).argmax(1) for v in centers]
+                for i, a in enumerate(labels):
+                    for j in range(i + 1, len(labels)):
+                        found = np.bincount(a * len(centers[j]) + labels[j], minlength=len(centers[i]) * len(centers[j]))
+                        held[g, i, j] = held.get((g, i, j), 0) + found
+        if held:
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in zip(*held, strict=True)), pa.array([t.tolist() for t in held.values()])], ["g", "i", "j", "counts"])
+
+    tables: dict[tuple[int, int, int], np.ndarray] = {}
+    if sent:
+        for r in docs.select("node", "x").mapInArrow(run, "g long, i long, j long, counts array<long>").collect():
+            key = r["g"], r["i"], r["j"]
+            tables[key] = tables.get(key, 0) + np.array(r["counts"], float)
+    out: list[list[float]] = [[] for _ in groups]
+    for (g, i, _), t in sorted(tables.items()):
+        out[g].append(_table_rand(t.reshape(groups[g][i].k, -1)))
+    return [float(np.mean(x)) if x else 0.0 for x in out]
 
 
 def candidates(docs: DataFrame, ks: list[int], m: float = 1.2, n_init: int = 3, seed: int = 42, min_size: int = 2, max_iter: int = 60) -> tuple[DataFrame, dict[int, dict[int, Lane]]]:
@@ -243,18 +275,18 @@ def candidates(docs: DataFrame, ks: list[int], m: float = 1.2, n_init: int = 3,
     nodes = [r["node"] for r in docs.select("node").distinct().collect()]
     lanes = [Lane(int(n), k, seed + 1009 * k + 1009 * i, m) for n in nodes for k in ks for i in range(n_init)]
     fit_lanes(docs, lanes, max_iter)
-    samples = seed_rows(docs)
+    groups = {(n, k): [x for x in lanes if x.node == n and x.k == k and x.valid(min_size)] for n in nodes for k in ks}
+    agreed = dict(zip(groups, stability(docs, list(groups.values())), strict=True))
     rows, chosen = [], {}
     for n in nodes:
         for k in ks:
             mine = [x for x in lanes if x.node == n and x.k == k]
-            good = [x for x in mine if x.valid(min_size)]
             best = best_of(mine, min_size)
             if best is None:
                 continue
             chosen.setdefault(int(n), {})[k] = best
             xb, mpc = best.objective / max(best.separation**2, 1e-12), (best.pc - 1 / k) / (1 - 1 / k) if k > 1 else 1.0
-            rows.append((int(n), k, *(float(v) for v in (xb, best.proxy, stability(good, samples[n]), mpc, best.objective)), bool(good)))
+            rows.append((int(n), k, *(float(v) for v in (xb, best.proxy, agreed[n, k], mpc, best.objective)), bool(groups[n, k])))
     frame = docs.sparkSession.createDataFrame(rows, "node long, k long, xb double, silhouette double, stability double, mpc double, objective double, valid boolean")
     return frame, chosen
 
@@ -292,10 +324,9 @@ def stable_fuzzifier(docs: DataFrame, ms: tuple = (1.2, 1.4, 1.6, 1.8, 2.0), n_i
     lanes = [Lane(0, 2, seed + 10007 * i + 1009 * j, m) for i, m in enumerate(ms) for j in range(n_init)]
     one = docs.withColumn("node", F.lit(0).cast("long"))
     fit_lanes(one, lanes)
-    sample = seed_rows(one)[0]
-    for m in ms:
-        good = [x for x in lanes if x.m == m and x.valid(min_size)]
-        if len(good) >= n_init and stability(good, sample) >= needed:
+    groups = [[x for x in lanes if x.m == m and x.valid(min_size)] for m in ms]
+    for m, good, agreed in zip(ms, groups, stability(one, groups), strict=True):
+        if len(good) >= n_init and agreed >= needed:
             return m
     return ms[-1]
 
