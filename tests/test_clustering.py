@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.functions import vectors as V
-from weft.operators import classify, density, fcm, incremental as inc, metrics, pca, selection, soft, training
+from weft.operators import classify, density, fcm, incremental as inc, metrics, neighbors, pca, selection, soft, training
 
 
 def blobs(spark, seed=9, n=40, dims=4):
@@ -159,6 +159,30 @@ def test_stability_counts_all_rows(spark):
     assert training.stability(docs, [lanes[:1], []]) == [0.0, 0.0]
 
 
+def test_auto_pca_width_asks_all_rows(spark, tmp_path):
+    from weft.plans import models
+
+    x = np.random.default_rng(4).normal(0, 1, (500, 40)).astype(np.float32)
+    spark.createDataFrame([(i, 0, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["dim"]: r["preservation"] for r in models.auto_pca_width(spark, str(tmp_path)).collect()}
+    unit = fcm.unit_rows(x.astype(float))
+    y = (unit - unit.mean(0)) @ np.linalg.svd(unit - unit.mean(0))[2][:32].T
+
+    def near(z):
+        d = -fcm.unit_rows(z) @ fcm.unit_rows(z).T
+        np.fill_diagonal(d, np.inf)
+        return np.argsort(d, 1)[:, :15]
+
+    assert abs(got[32] - np.mean([np.isin(a, b).mean() for a, b in zip(near(unit), near(y), strict=True)])) < 1e-3
+
+
+def test_neighbors_of_equal_rows(spark):
+    x = np.repeat(np.eye(4), 50, 0)
+    df = spark.createDataFrame([(i * 7 % 200, [float(v) for v in x[i * 7 % 200]]) for i in range(200)], "id long, x array<double>").repartition(3)
+    got = {(r["id"], r["rank"]): r["neighbor"] for r in neighbors.knn(df, df, 3, block=64, stripe=5).collect()}
+    assert got == {(i, r + 1): [j for j in range(i // 50 * 50, i // 50 * 50 + 4) if j != i][r] for i in range(200) for r in range(3)}
+
+
 def test_spanning_tree_in_tasks(spark):
     rng = np.random.default_rng(8)
     x = np.vstack([rng.normal(c, 0.2, (400, 3)) for c in (0, 2, 5)] + [np.ones((60, 3)), rng.uniform(-2, 7, (140, 3))])

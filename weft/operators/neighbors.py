@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .fcm import matrix, unit_rows
 
 
-def knn(queries: DataFrame, base: DataFrame, k: int, id_: str = "id", vector: str = "x", dims: int | None = None, metric: str = "cosine", block: int = 4096) -> DataFrame:
+def knn(queries: DataFrame, base: DataFrame, k: int, id_: str = "id", vector: str = "x", dims: int | None = None, metric: str = "cosine", block: int = 4096, stripe: int = 1024) -> DataFrame:
     """(id, neighbor, distance, rank) of the k nearest other rows of ``base`` for every row of ``queries``.
 
     ``queries`` are the stated query set: blocks of them are sent to the tasks that read ``base``; each task keeps k rows for
-    each query and partition, so the merge shuffles k rows for each query and task. Ties go to the smaller id.
+    each query and partition, so the merge shuffles k rows for each query and task. ``stripe`` rows of ``base`` are compared at
+    a time, which bounds a task's memory. Ties go to the smaller id.
     """
 
     def prepare(x: np.ndarray) -> np.ndarray:
@@ -29,19 +30,26 @@ def knn(queries: DataFrame, base: DataFrame, k: int, id_: str = "id", vector: st
         ids, points = held.column(0).to_numpy(), prepare(matrix(held.column(1)))
 
         def run(batches: Iterator[pa.RecordBatch], ids=ids, points=points) -> Iterator[pa.RecordBatch]:
-            best_d, best_i = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
+            best_d, best_i = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+            for batch in (b.slice(a, stripe) for b in batches for a in range(0, b.num_rows, stripe)):
+                if not len(ids):
                     continue
                 mine, x = batch.column(0).to_numpy(), prepare(matrix(batch.column(1)))
                 if metric == "cosine":
                     d = 1 - np.clip(points @ x.T, -1, 1)
                 else:
                     d = np.sqrt(np.maximum((points * points).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * points @ x.T, 0))
-                d = np.where(ids[:, None] == mine[None], np.inf, d)
-                d, i = np.hstack([best_d, d]), np.hstack([best_i, np.broadcast_to(mine, d.shape)])
-                order = np.lexsort((i, d), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+                d[ids[:, None] == mine[None]] = np.inf
+                # only rows that are no farther than the k-th so far, ties included, are sorted
+                limit = best_d[:, -1:]
+                if d.shape[1] > k:
+                    limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1 : k])
+                q, at = np.nonzero((d <= limit) & np.isfinite(d))
+                row, far, who = np.concatenate([np.repeat(np.arange(len(ids)), k), q]), np.concatenate([best_d.ravel(), d[q, at]]), np.concatenate([best_i.ravel(), mine[at]])
+                order = np.lexsort((who, far, row))
+                row = row[order]
+                kept = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+                best_d, best_i = far[kept].reshape(len(ids), k), who[kept].reshape(len(ids), k)
             near = np.isfinite(best_d)
             if near.any():
                 yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], near.shape)[near]), pa.array(best_i[near]), pa.array(best_d[near])], ["id", "neighbor", "distance"])

@@ -75,16 +75,15 @@ def support_threshold(scored: DataFrame, width: int, full: int, z: float = 3.0)
     return random + 0.4 * (low - random) if low > random else 0.0
 
 
-def choose_width(docs: DataFrame, widths: list[int], k: int = 15, min_gain: float = 0.05, queries: int = 1000) -> tuple[int, DataFrame]:
+def choose_width(docs: DataFrame, widths: list[int], k: int = 15, min_gain: float = 0.05) -> tuple[int, DataFrame]:
     """The width by kept neighbours and the curve; one fit at the largest width, smaller ones are prefixes.
 
-    Neighbours are exact for up to ``queries`` query rows (smallest hash of their id) against all rows.
+    Neighbours are exact, for every row against all rows.
     """
     p = fit(docs, max(widths))
     projected = project(docs, p, normalise=False).select("id", "x", F.col("projected").alias("y")).persist()
-    asked = projected.orderBy(F.xxhash64("id"), "id").limit(queries)
-    reference = neighbors.knn(asked, projected, k).persist()
-    rows = [(w, neighbors.preservation(reference, neighbors.knn(asked, projected, k, vector="y", dims=w), k).first()[0]) for w in sorted({min(w, len(p.components)) for w in widths})]
+    reference = neighbors.knn(projected, projected, k).persist()
+    rows = [(w, neighbors.preservation(reference, neighbors.knn(projected, projected, k, vector="y", dims=w), k).first()[0]) for w in sorted({min(w, len(p.components)) for w in widths})]
     curve = docs.sparkSession.createDataFrame([(int(w), float(v)) for w, v in rows], "dim long, preservation double")
     local, knee = selection.plateau(curve, min_gain).first()["dim"], selection.global_knee(curve).first()["dim"]
     projected.unpersist()

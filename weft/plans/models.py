@@ -71,7 +71,7 @@ def pca_project(spark, sf_dir):
 
 @_query
 def auto_pca_width(spark, sf_dir):
-    width, curve = pca.choose_width(T.embeddings(spark, sf_dir), [32, 64], queries=200)
+    width, curve = pca.choose_width(T.embeddings(spark, sf_dir), [32, 64])
     return curve.withColumn("selected", F.col("dim") == width)
 
 
