@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,17 @@ def test_jaccard_components(docs, rows, monkeypatch, block, bucket, hot):
     assert got == sorted(brute_components(rows)[0], key=repr)
 
 
+def test_a_text_with_many_shingles_in_one_bucket():
+    """Two blocks of one text each, with the same 70,000 shingles and a single bucket."""
+    keys = np.sort(np.random.default_rng(6).integers(0, 1 << 63, 70000, np.uint64) << np.uint64(1))
+    sent = pa.Table.from_batches([jaccard._block_rows(b, np.array([b + 5]), np.zeros(len(keys), np.int64), keys, 1) for b in (0, 1)])
+    target = sent.column("target").to_numpy()
+    answers = pa.concat_tables([jaccard._answer((pa.scalar(t),), sent.filter(pa.array(target == t))) for t in np.unique(target).tolist()])
+    for b in (0, 1):
+        got = jaccard._gather((pa.scalar(b),), answers.filter(pa.array(answers.column("target").to_numpy() == b))).to_pylist()
+        assert [(r["doc_id"], r["n"], r["n_shared"]) for r in got] == [(b + 5, 70000, 70000)]
+
+
 def test_one_representative_for_each_component(docs, rows):
     kept = jaccard.representatives(clash(docs))
     assert kept.columns == clash(docs).columns and kept.where("node = 'odd'").count() == kept.count()

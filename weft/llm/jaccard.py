@@ -117,7 +117,7 @@ def _block_rows(block: int, ids: np.ndarray, row: np.ndarray, key: np.ndarray, b
     for b in range(buckets):
         a, z, ha, hz = edge[b], edge[b + 1], hot_edge[b], hot_edge[b + 1]
         if z > a or hz > ha:
-            rows.append((b, block, _pack(key[a:z]), np.bincount(row[a:z], minlength=n).astype(np.uint16).tobytes(), _pack(hot_keys[ha:hz]), hot_counts[ha:hz].tobytes(), None, None, None))
+            rows.append((b, block, _pack(key[a:z]), np.bincount(row[a:z], minlength=n).astype(np.uint32).tobytes(), _pack(hot_keys[ha:hz]), hot_counts[ha:hz].tobytes(), None, None, None))
     rows.append((-1 - block, block, hot_rows.tobytes(), hot_of.tobytes(), hot_keys.tobytes(), None, ids.tobytes(), sizes.astype(np.int64).tobytes(), signs.tobytes()))
     types = [pa.int64(), pa.int64(), *[pa.binary()] * 7]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in _MESSAGE.split(", ")])
@@ -185,8 +185,9 @@ def _answer(key: tuple, table: pa.Table) -> pa.Table:
             mine, theirs = df[at : at + len(c)], df[hot_at : hot_at + len(h)]
             at, hot_at = at + len(c), hot_at + len(h)
             shared = mine >= 2
-            row = np.repeat(np.arange(len(m["counts"]) // 2), np.frombuffer(m["counts"], np.uint16))
-            counts = np.bincount(row[shared], minlength=len(m["counts"]) // 2).astype(np.uint16)
+            sent_counts = np.frombuffer(m["counts"], np.uint32)
+            row = np.repeat(np.arange(len(sent_counts)), sent_counts)
+            counts = np.bincount(row[shared], minlength=len(sent_counts)).astype(np.uint32)
             if shared.any() or len(h):
                 rows.append((m["sender"], _pack(c[shared]), mine[shared].tobytes(), counts.tobytes(), key[0].as_py(), theirs.tobytes(), None, None, None))
     columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
@@ -209,7 +210,7 @@ def _gather(key: tuple, table: pa.Table) -> pa.Table:
     hot_bucket = (hot_keys >> _U(_REST)).astype(np.int64)
     for m in held:
         if m["bucket"] >= 0:
-            counts = np.frombuffer(m["counts"], np.uint16)
+            counts = np.frombuffer(m["counts"], np.uint32)
             rows.append(np.repeat(np.arange(n), counts))
             keys.append(_unpack(m["packed"]) + (_U(m["bucket"]) << _U(_REST)))
             dfs.append(np.frombuffer(m["frequencies"], np.uint16))
