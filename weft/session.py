@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -25,9 +26,15 @@ def build_session(app: str = "weft", master: str | None = None, **conf: str) ->
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder takes its place in a session of one machine; on a cluster it must be set.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="weft-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -54,6 +61,12 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver's JVM drop what no frame refers to any more, so that Spark deletes its shuffle files at once."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def row_hash(df: DataFrame) -> Column:
     """A 64-bit hash of a row by all its columns; a null counts by the column it is in."""
     return F.xxhash64(*[x for c in df.columns for x in (F.col(c), F.col(c).isNull())])
