@@ -73,14 +73,13 @@ def suffix_array(hashes: np.ndarray, row: np.ndarray, depth: int) -> tuple[np.nd
             break
         step = max(1, 2 * step)
     live = live[order]
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * tk.powers(n), out=prefix[1:])
+    rolling = tk.Rolling(hashes)
     ends = np.searchsorted(row, row[live], "right")
     low, high = np.zeros(len(live) - 1, np.int64), np.minimum(ends[:-1] - live[:-1], ends[1:] - live[1:])
     high = np.where(row[live[1:]] == row[live[:-1]], high, 0)
     while (low < high).any():
         middle = (low + high + 1) // 2
-        equal = tk.range_hash(prefix, live[:-1], live[:-1] + np.minimum(middle, n - live[:-1])) == tk.range_hash(prefix, live[1:], live[1:] + np.minimum(middle, n - live[1:]))
+        equal = rolling.ranges(live[:-1], live[:-1] + np.minimum(middle, n - live[:-1])) == rolling.ranges(live[1:], live[1:] + np.minimum(middle, n - live[1:]))
         low, high = np.where(equal, middle, low), np.where(equal, high, middle - 1)
     return live, low
 
@@ -97,8 +96,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, min_repeat: int = MIN_REPEAT)
         return total[offsets[1:]] - total[offsets[:-1]]
 
     inside = tk.SPACED[data] & ((data & 0xC0) != 0x80)
-    prefix = tk.prefix_hash(data)
-    hashes = tk.mix(tk.range_hash(prefix, starts, ends) + (ends - starts).astype(np.uint64))
+    hashes = tk.word_hashes(data, starts, ends)
     row = tk.row_of(bounds)
 
     breaks = np.zeros(len(data) + 1, bool)
@@ -113,7 +111,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, min_repeat: int = MIN_REPEAT)
     line_at, line_to = line_at[with_word], line_to[with_word]
     line_to = line_to - (data[line_to - 1] == 0x0A)
     line_row = np.searchsorted(offsets, line_at, "right") - 1
-    line_key = tk.mix(tk.range_hash(prefix, line_at, line_to) + (line_to - line_at).astype(np.uint64)) + tk.mix(line_row.astype(np.uint64))
+    line_key = tk.run_hashes(data, line_at, line_to) + tk.mix(line_row.astype(np.uint64))
     order, same = _seen_again(line_key)
     n_dup_lines = np.bincount(line_row[order[same]], minlength=rows)
 

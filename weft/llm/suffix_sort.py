@@ -11,13 +11,17 @@ from . import tokens as tk
 class SuffixSorter:
     """Sorts suffixes of one byte array."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, longest: int = 1 << 62):
+        """``longest``: the most bytes that are compared. Below 1,024 no structure makes strings collide modulo 2**64."""
         self.data = data
-        self.prefix = tk.prefix_hash(data)
-        self.inverse = tk.powers(len(data) + 1, True)
+        self.rolling = tk.Rolling.of_bytes(data) if longest >= 1024 else None
+        if self.rolling is None:
+            self.prefix, self.inverse = tk.prefix_hash(data), tk.powers(len(data) + 1, True)
 
     def _hash(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
-        return (self.prefix[at + length] - self.prefix[at]) * self.inverse[at]
+        if self.rolling is None:
+            return (self.prefix[at + length] - self.prefix[at]) * self.inverse[at]
+        return self.rolling.ranges(at, at + length)
 
     def common(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
         """Length of the common extension of the suffixes at a and b, up to ``most`` bytes, which both must have."""

@@ -1,6 +1,9 @@
 """Vectorised tokenisation of Arrow text columns: word boundaries and hashes without a Python loop per word.
 
-Null texts count as empty. All hashes are 64-bit polynomial hashes modulo 2**64 with a mixing step.
+Null texts count as empty. Words and lines have multilinear hashes: each byte is multiplied by a random number of its
+place, so that no structure of the text makes two of them equal. Where the hashes of all substrings are needed, ``Rolling``
+has two polynomials with independent bases modulo 2**31 - 1. ``prefix_hash``, modulo 2**64, is faster and only finds
+candidates: strings such as Thue-Morse words collide in it, so its equalities decide nothing.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Most bytes of text that are handled at once; a longer single text is handled alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 5
@@ -111,9 +114,81 @@ def range_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return (prefix[ends] - prefix[starts]) * powers(len(prefix), True)[starts]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A mixed 64-bit hash of each word."""
-    return mix(range_hash(prefix_hash(data), starts, ends) + (ends - starts).astype(np.uint64))
+def _places(n: int) -> np.ndarray:
+    """Random odd multipliers of the first n places of a run."""
+    have = _tables.get("places")
+    if have is None or len(have) < n:
+        _tables["places"] = have = mix(np.arange(max(n, 1 << 16), dtype=np.uint64) + _U(_BASE)) | _U(1)
+    return have[:n]
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A mixed 64-bit hash of each byte range that is not empty; ranges must not overlap much, all their bytes are read."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    length = ends - starts
+    total = np.cumsum(length)
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):  # about SLICE_BYTES at a time, or one range
+        before = total[at] - length[at]
+        to = max(at + 1, int(np.searchsorted(total, before + SLICE_BYTES, "right")))
+        some, head = length[at:to], total[at:to] - length[at:to] - before
+        place = np.arange(int(some.sum())) - np.repeat(head, some)
+        value = _BYTE_CODES[data[place + np.repeat(starts[at:to], some)]] * _places(int(some.max()))[place]
+        out[at:to] = np.add.reduceat(value, head)
+        at = to
+    return mix(out + length.astype(np.uint64))
+
+
+#: The name by which words are hashed.
+word_hashes = run_hashes
+
+_PRIME = _U((1 << 31) - 1)
+_ROLLING_BASES = (1298374651, 1874520397)
+
+
+def _mod(x: np.ndarray) -> np.ndarray:
+    """Residues modulo 2**31 - 1 of numbers below 2**63."""
+    x = (x & _PRIME) + (x >> _U(31))
+    x = (x & _PRIME) + (x >> _U(31))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _prime_powers(which: int, n: int, inverse: bool) -> np.ndarray:
+    """The first n powers of a rolling base, or of its inverse, modulo 2**31 - 1."""
+    name = f"prime{which}{inverse}"
+    have = _tables.get(name)
+    if have is None or len(have) < n:
+        base = pow(_ROLLING_BASES[which], -1, int(_PRIME)) if inverse else _ROLLING_BASES[which]
+        have = np.ones(1, np.uint64)
+        while len(have) < max(n, 1 << 16):
+            have = np.concatenate([have, _mod(have * _U(pow(base, len(have), int(_PRIME))))])
+        _tables[name] = have
+    return have[:n]
+
+
+class Rolling:
+    """Hashes of all ranges of a sequence: two polynomials modulo 2**31 - 1, side by side in 62 bits."""
+
+    def __init__(self, values: np.ndarray):
+        """``values``: 64-bit numbers that stand for the items, random enough in all their bits."""
+        self.sums = []
+        for which, shift in enumerate((0, 32)):
+            out = np.zeros(len(values) + 1, np.uint64)
+            np.cumsum(_mod(_mod(values >> _U(shift) & _U((1 << 32) - 1)) * _prime_powers(which, len(values), False)), out=out[1:])
+            self.sums.append(_mod(out))
+        self.inverse = [_prime_powers(which, len(values) + 1, True) for which in (0, 1)]
+
+    @classmethod
+    def of_bytes(cls, data: np.ndarray) -> Rolling:
+        """Hashes of all byte ranges."""
+        return cls(_BYTE_CODES[data])
+
+    def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hash of each range, independent of where it stands; compare ranges of one length only."""
+        low, high = (_mod((held[ends] + _PRIME - held[starts]) * inverse[starts]) for held, inverse in zip(self.sums, self.inverse, strict=True))
+        return (high << _U(31)) | low
 
 
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:

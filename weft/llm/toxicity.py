@@ -43,7 +43,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     starts, ends, bounds = tk.words(low, offsets, tk.ALNUM)
     prefix = tk.prefix_hash(low)
     row = tk.row_of(bounds)
-    rows, hashes = [row], [tk.mix(tk.range_hash(prefix, starts, ends) + (ends - starts).astype(np.uint64))]
+    rows, hashes = [row], [tk.word_hashes(low, starts, ends)]
     for k in PREFIXES:
         long = np.flatnonzero(ends - starts > k)
         rows.append(row[long])
