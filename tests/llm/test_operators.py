@@ -116,24 +116,64 @@ def brute_components(rows):
     return [(r[0], len(sets[i]), least[find(i)]) for i, r in enumerate(rows)], [find(i) for i in range(len(rows))]
 
 
-@pytest.mark.parametrize(("block", "bucket", "hot"), [(6 << 20, 1 << 20, 32), (3000, 500, 3)])
-def test_jaccard_components(docs, rows, monkeypatch, block, bucket, hot):
+@pytest.mark.parametrize(("block", "cell"), [(6 << 20, 128), (3000, 2)])
+def test_jaccard_components(docs, rows, monkeypatch, block, cell):
     monkeypatch.setattr(jaccard, "BLOCK_BYTES", block)
-    monkeypatch.setattr(jaccard, "LOCAL_HOT", hot)
-    monkeypatch.setattr(jaccard.shared_sets, "__defaults__", (block, bucket))
+    monkeypatch.setattr(jaccard, "CELL", cell)
+    monkeypatch.setattr(jaccard, "SHRINK", 0.8 if cell > 2 else -1)  # the last round at once
     got = collected(jaccard.jaccard_components(clash(docs)), "doc_id", "n_shingles", "component_id")
     assert got == sorted(brute_components(rows)[0], key=repr)
 
 
-def test_a_text_with_many_shingles_in_one_bucket():
-    """Two blocks of one text each, with the same 70,000 shingles and a single bucket."""
-    keys = np.sort(np.random.default_rng(6).integers(0, 1 << 63, 70000, np.uint64) << np.uint64(1))
-    sent = pa.Table.from_batches([jaccard._block_rows(b, np.array([b + 5]), np.zeros(len(keys), np.int64), keys, 1) for b in (0, 1)])
+@pytest.mark.parametrize(("lanes", "n"), [(1, 70000), (1 << 18, 40), (1 << 26, 40)])
+def test_messages_between_blocks_and_lanes(lanes, n):
+    """Two blocks hold the same shingles, one of them in two documents, whatever the number of lanes."""
+    keys = np.sort(np.random.default_rng(6).integers(0, 1 << 63, n, np.uint64) << np.uint64(1))
+    twice = np.concatenate([keys, keys])
+    sent = [jaccard._block_rows(0, np.array([5]), np.array([0]), np.zeros(n, np.int64), keys, lanes), jaccard._block_rows(3, np.array([6, 7]), np.array([0, 0]), np.repeat([0, 1], n), twice, lanes)]
+    sent = pa.Table.from_batches(sent)
     target = sent.column("target").to_numpy()
+    assert sent.num_rows <= 2 * n + 2
     answers = pa.concat_tables([jaccard._answer((pa.scalar(t),), sent.filter(pa.array(target == t))) for t in np.unique(target).tolist()])
-    for b in (0, 1):
-        got = jaccard._gather((pa.scalar(b),), answers.filter(pa.array(answers.column("target").to_numpy() == b))).to_pylist()
-        assert [(r["doc_id"], r["n"], r["n_shared"]) for r in got] == [(b + 5, 70000, 70000)]
+    got = []
+    for b in (0, 3):
+        got += jaccard._gather(lanes, (pa.scalar(b),), answers.filter(pa.array(answers.column("target").to_numpy() == b))).to_pylist()
+    assert [(r["doc_id"], r["n"], r["n"] - r["offset"]) for r in got] == [(5, n, n), (6, n, n), (7, n, n)]
+    assert len({r["sign"] for r in got}) == 1 and len({r["packed"] for r in got}) == 1 and len({r["rid"] for r in got}) == 3
+
+
+def thue_morse(n):
+    x = "a"
+    while len(x) < n:
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_strings_that_collide_in_polynomials_modulo_a_power_of_two(spark):
+    x, y = thue_morse(1024)
+    rows = [(1, x), (2, y), (3, f"{x}\n{y}"), (4, f"{x}\n{x}"), (5, " ".join(x)), (6, " ".join(y))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collected(jaccard.jaccard_components(df), "doc_id", "n_shingles", "component_id") == brute_components(rows)[0]
+    assert collected(quality.quality_rules(df), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == [(r[0], *brute_quality(r[1])) for r in rows]
+
+
+def test_texts_of_ten_megabytes_and_a_shingle_in_every_document(spark):
+    rng = random.Random(8)
+    w = [f"v{rng.randrange(10**6)}" for _ in range(1_350_000)]
+    near, far = list(w), list(w)
+    for k in range(0, len(w), 100):
+        near[k] = "x"
+    for k in range(0, len(w), 12):
+        far[k] = "y"
+    passage = "one shingle in every document"
+    rows = [(1, " ".join(w)), (2, " ".join(near)), (3, " ".join(far))] + [(10 + i, f"{passage} {" ".join(rng.choice(w) for _ in range(12))}") for i in range(200)] + [(300 + i, f"{passage} {rng.choice(w)}") for i in range(3)]
+    got = {r["doc_id"]: r for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    sets = {k: {hash(tuple(v[i : i + 5])) for i in range(len(v) - 4)} for k, v in ((1, w), (2, near), (3, far))}
+    assert [got[k]["n_shingles"] for k in (1, 2, 3)] == [len(sets[k]) for k in (1, 2, 3)]
+    linked = [100 * len(sets[1] & sets[k]) >= 80 * len(sets[1] | sets[k]) for k in (2, 3)]
+    assert linked == [True, False] and [got[k]["component_id"] for k in (2, 3)] == [1, 3]
+    small = rows[3:]
+    assert [(r[0], got[r[0]]["n_shingles"], got[r[0]]["component_id"]) for r in small] == brute_components(small)[0]
 
 
 def test_one_representative_for_each_component(docs, rows):
@@ -379,23 +419,75 @@ def brute_substrings(texts, length):
     return out
 
 
-@pytest.mark.parametrize("group", [dedup_substrings.GROUP, 1])
-def test_substrings(docs, rows, group):
-    got = collected(dedup_substrings.dedup_substrings(clash(docs), group=group), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    want = brute_substrings([r[1] for r in rows], dedup_substrings.LENGTH)
-    assert got == sorted(((r[0], *w) for r, w in zip(rows, want, strict=True)), key=repr)
+def brute_passages(held):
+    """Words of each (doc_id, text) in strings of 51 words that another one holds too."""
+    split = [words(t) for _, t in held]
+    holders = defaultdict(set)
+    for doc, w in zip(held, split, strict=True):
+        for i in range(len(w) - 50):
+            holders[tuple(w[i : i + 51])].add(doc)
+    out = []
+    for w in split:
+        cover = set()
+        for i in range(len(w) - 50):
+            if len(holders[tuple(w[i : i + 51])]) > 1:
+                cover |= set(range(i, i + 51))
+        out.append(len(cover))
+    return out
 
 
+@pytest.mark.parametrize("group", [dedup_substrings.GROUP, 4, 1])
+def test_substrings(docs, rows, group):
+    got = collected(dedup_substrings.dedup_substrings(clash(docs), group=group), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words")
+    want = brute_substrings([r[1] for r in rows], dedup_substrings.LENGTH)
+    assert [g[:-1] for g in got] == sorted(((r[0], *w) for r, w in zip(rows, want, strict=True)), key=repr)
+    # repeated rows are one document to the passages
+    assert Counter((g[0], g[1], g[-1]) for g in got) == Counter((r[0], len((r[1] or "").encode()), n) for r, n in zip(rows, brute_passages([r[:2] for r in rows]), strict=True))
+
+
+@pytest.mark.parametrize("group", [dedup_substrings.GROUP, 8])
+def test_planted_passages(spark, group):
+    """Passages of 51 to 90 words in several documents, with surroundings of their own, against all windows' counts."""
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 14))) for _ in range(3000)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    texts = [some(rng.randrange(20, 300)) for _ in range(1500)]
+    for k in range(120):
+        passage = some(rng.randrange(51, 91))
+        for _ in range(40 if k == 0 else 2):
+            t = rng.choice(texts)
+            at = rng.randrange(len(t))
+            t[at:at] = passage
+    texts = [" ".join(t) for t in texts]
+    got = dedup_substrings.dedup_substrings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), group=group)
+    count = Counter(hash(t[i : i + 400]) for t in texts for i in range(len(t) - 399))
+    want = {}
+    for k, t in enumerate(texts):
+        cover = np.zeros(len(t) + 1, np.int64)
+        for i in range(len(t) - 399):
+            if count[hash(t[i : i + 400])] > 1:
+                cover[i] += 1
+                cover[i + 400] -= 1
+        kept = np.cumsum(cover[:-1]) == 0
+        want[k] = (len(t), int((~kept).sum()), sha(np.frombuffer(t.encode(), np.uint8)[kept].tobytes()))
+    assert sum(w[1] > 0 for w in want.values()) > 150
+    got = got.collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in got} == want
+    assert sorted((r["doc_id"], r["n_passage_words"]) for r in got) == list(enumerate(brute_passages(list(enumerate(texts)))))
+    assert sum(r["n_passage_words"] > 0 for r in got) > 200
+
+
+@pytest.mark.parametrize("longest", [31, 5000])
 @pytest.mark.parametrize("seed", range(3))
-def test_suffix_sort(seed):
+def test_suffix_sort(seed, longest):
     rng = np.random.default_rng(seed)
     data = rng.integers(97, 99, 600).astype(np.uint8)
     at, group = rng.integers(0, 560, 200), rng.integers(0, 5, 200)
-    order = SuffixSorter(data).sort(at, group, 30)
+    order = SuffixSorter(data, longest).sort(at, group, 30)
     held = [(group[k], data[at[k] : at[k] + 30].tobytes()) for k in order]
     assert held == sorted(held)
     count = Counter((g, data[a : a + 30].tobytes()) for a, g in zip(at, group, strict=True))
-    assert SuffixSorter(data).repeated(at, group, 30).tolist() == [count[g, data[a : a + 30].tobytes()] > 1 for a, g in zip(at, group, strict=True)]
+    assert SuffixSorter(data, longest).repeated(at, group, 30).tolist() == [count[g, data[a : a + 30].tobytes()] > 1 for a, g in zip(at, group, strict=True)]
 
 
 # toxicity -------------------------------------------------------------------------------------------------------
