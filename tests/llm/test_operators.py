@@ -186,6 +186,28 @@ def test_one_representative_for_each_component(docs, rows):
 # benchmark decontamination -------------------------------------------------------------------------------------
 
 
+def brute_overlaps(docs, items):
+    """doc_id, item_id and matched words of every document row and item row, over all diagonals."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+    out = []
+    for item_id, item in items:
+        b = split(item)
+        for doc_id, doc in docs:
+            a = split(doc)
+            best = (0,)
+            for shift in range(-len(b) + 1, len(a)) if set(a) & set(b) else ():
+                run = (0, 0, 0)
+                for i in range(max(0, -shift), min(len(b), len(a) - shift)):
+                    same = a[i + shift] == b[i]
+                    run = (run[0] + 1, run[1] + 1, run[2] + 1) if same else (run[0] - 2, run[1] + 1, run[2])
+                    if run[0] < 0 or (run[0] == 0 and same):
+                        run = (0, 0, 0)
+                    best = max(best, (run[0], run[2]) if run[2] >= decontaminate.MIN_MATCHED else (0,))
+            if best[0] > 0:
+                out.append((doc_id, item_id))
+    return out
+
+
 def test_contaminated_pairs(spark, docs, rows):
     rng = random.Random(1)
     long = next(r[1] for r in rows if r[0] == 80).split()
@@ -195,11 +217,48 @@ def test_contaminated_pairs(spark, docs, rows):
         changed[k] = "other"
     items = [(0, " ".join(item)), (1, " ".join(changed).upper().replace(" ", ", ")), (2, " ".join(f"q{rng.random()}" for _ in range(30))), (3, None), (4, "w1 w2"), (5, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (decontaminate.BLOCK_BYTES, 200):
-        got = collected(decontaminate.contaminated_pairs(clash(docs), bench, block), "doc_id", "item_id", "matched_words", "doc_start")
-        assert got == [(80, 0, 40, 100), (80, 1, 37, 100)]
-    assert decontaminate.without_benchmark(docs, bench).count() == len(rows) - 1
+    got = collected(decontaminate.contaminated_pairs(clash(docs), bench), "doc_id", "item_id", "matched_words", "doc_start")
+    assert got == [(80, 0, 40, 100), (80, 1, 37, 100)]
+    odd = decontaminate.without_benchmark(clash(docs), bench)
+    assert odd.count() == len(rows) - 1 and odd.columns == clash(docs).columns
     assert decontaminate.contaminated_pairs(docs, bench.limit(0)).count() == 0
+    assert decontaminate.without_benchmark(docs, bench.limit(0)).count() == len(rows)
+    assert decontaminate.contaminated_pairs(docs.limit(0), bench).count() == 0
+
+
+def test_overlaps_against_all_diagonals(spark):
+    """Items with substituted words, repeated document rows and repeated item rows; recall of the seeds."""
+    rng = random.Random(17)
+    some = lambda n: [f"w{rng.randrange(600)}" for _ in range(n)]
+    items = [(i, some(rng.randrange(12, 45))) for i in range(40)]
+    docs = []
+    for i in range(300):
+        w = some(rng.randrange(5, 90))
+        for _ in range(rng.randrange(0, 3)):
+            copy = list(rng.choice(items)[1])
+            copy = copy[: rng.randrange(8, len(copy) + 1)]
+            for k in range(len(copy)):
+                if rng.random() < rng.choice([0, 0.05, 0.15]):
+                    copy[k] = "changed"
+            at = rng.randrange(len(w))
+            w[at:at] = copy
+        docs.append((i, " ".join(w)))
+    docs += [docs[3], docs[3], (None, docs[4][1])]
+    items = [(i, " ".join(w)) for i, w in items]
+    items += [items[5], (None, items[6][1])]
+    got = Counter((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated_pairs(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect())
+    want = Counter(brute_overlaps(docs, items))
+    assert not got - want
+    assert sum((got & want).values()) >= 0.97 * sum(want.values()) > 100
+
+
+def test_the_filter_passes_all_that_it_holds():
+    hashes = np.random.default_rng(2).integers(0, 1 << 63, 4000, np.uint64)
+    words = np.zeros((1 << 16) >> 6, np.uint64)
+    for place in decontaminate.Filter.places(1 << 16, hashes[:1000]):
+        np.bitwise_or.at(words, place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
+    held = decontaminate.Filter(1 << 16, words).may_hold(hashes)
+    assert held[:1000].tolist() == list(range(1000)) and len(held) < 1100
 
 
 # secrets and personal data --------------------------------------------------------------------------------------
@@ -327,6 +386,38 @@ def test_mix(docs, rows):
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
+def brute_rates(sizes, target, power):
+    """Rates of one source by bisection on the multiplier of the convex dual."""
+    root = [round(n ** (1 - power), 6) for n in sizes]
+    scale = sum(n * x for n, x in zip(sizes, root, strict=True)) / sum(sizes)
+    rate = lambda m: [min(3.0, np.exp(min(m * x / scale, 5.0))) for x in root]
+    low, high = -200.0, 200.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum(n * r for n, r in zip(sizes, rate(middle), strict=True)) < target else (low, middle)
+    return rate(low)
+
+
+@pytest.mark.parametrize("salt_rows", [mixing.SALT_ROWS, 30])
+def test_rates_solve_the_dual(spark, salt_rows):
+    """Rates against bisection; with a group of many documents of one size, alone and dealt into salts."""
+    rng = random.Random(12)
+    rows = [(i, rng.choice([3, 7, 20, 20, 20, 20, 55, 300, 1200]), rng.choice("aabccccc")) for i in range(900)]
+    df = spark.createDataFrame([(i, "w " * n, s) for i, n, s in rows], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in mixing.mix_sources(df, salt_rows=salt_rows).collect()}
+    want = brute_targets({s: sum(n for _, n, x in rows if x == s) for s in "abc"})
+    for s in "abc":
+        mine = [(i, n) for i, n, x in rows if x == s]
+        for (i, n), r in zip(mine, brute_rates([n for _, n in mine], want[s], mixing.COST_POWER), strict=True):
+            assert abs(got[i]["rate"] - r) < 1e-3 * r and 0 <= got[i]["copies"] <= 3
+        # what is left is at most half a document of the size at which settling ends, one of the short ones here
+        assert abs(sum(got[i]["taken"] for i, _ in mine) - want[s]) <= 10
+        # copies within a size differ by one at most
+        for size in {n for _, n in mine}:
+            held = [got[i]["copies"] for i, n in mine if n == size]
+            assert max(held) - min(held) <= 1
+
+
 def test_tiny_sources_reach_their_cap(spark):
     df = spark.createDataFrame([(i, "w " * 1000, "a") for i in range(50)] + [(99, "one two", "b")], "doc_id long, text string, source string")
     got = {r["doc_id"]: r for r in mixing.mix_sources(df).collect()}

@@ -7,14 +7,15 @@ Every source has a token target. Among all document rates r the one that minimis
 is exponentially tilted: r_i = min(MAX_COPIES, exp(lambda * x_i)) with x_i = (size_i / c_i) / scale, where the document's
 cost is c_i = size_i ** COST_POWER (0 weighs documents alike, 1 weighs words alike and makes rates uniform), and the
 scale is the word-weighted mean of size_i / c_i. The multiplier of each source is the root of the convex dual's
-gradient; safeguarded Newton steps on its logarithm find it. The steps are aggregations over (source, size, salt) counts,
-one row for each distinct size, so that neither a hot source nor a group of copies meets in one task; the multipliers
-stay in a table.
+gradient; safeguarded Newton steps on its logarithm find it. The steps are aggregations over (source, size) counts,
+one row for each distinct size, whose number does not grow with the documents; the multipliers stay in a table. If they
+do not reach TOLERANCE, the query fails rather than go on with wrong rates.
 
 Rates become copies by systematic rounding of their running total in order of size (a total over the counts, not over
 documents), and the words that the whole copies leave over or lack are then settled with the shortest documents that
-can take or give copies. A document's copies follow from its rank in its (source, size, salt) group. All sums that decide
-are integers, so that reruns agree.
+can take or give copies. A document's copies follow from its rank among those of its source and size; a group of more
+than SALT_ROWS documents is dealt into salts, which share its copies by their running numbers, so that no task ranks a
+hot group alone. All sums that decide are integers, so that reruns agree.
 
 Null and empty texts have size 0 and take nothing. A null source is a source of its own, the last. Repeated rows are
 documents of their own. Empty tables give empty results. Columns other than doc_id, text and source are not read.
@@ -28,7 +29,7 @@ from ..session import discard, materialize
 
 WEIGHTS, MAX_COPIES, COST_POWER = (1, 2, 3), 3, 0.5
 #: Newton stops at this relative error of each source's words; steps between two looks at it; most looks.
-TOLERANCE, STEPS, LOOKS = 2e-5, 5, 8
+TOLERANCE, STEPS, LOOKS = 2e-5, 5, 20
 #: Documents for one salt.
 SALT_ROWS = 100_000
 _UNIT = 1_000_000
@@ -69,7 +70,7 @@ def _newton(counts: DataFrame, state: DataFrame, most: int) -> DataFrame:
     free = rate < most * _UNIT
     words = (F.col("n") * F.col("size")).cast("decimal(24,0)")
     summed = joined.withColumn("rate", rate).groupBy("source_key").agg(
-        *[F.first(c).alias(c) for c in ("target", "scale", "multiplier", "low", "high")],
+        *[F.first(c).alias(c) for c in ("target", "source_size", "scale", "multiplier", "low", "high")],
         (F.sum(words * F.col("rate")).cast("double") / _UNIT).alias("value"),
         (F.sum(F.when(free, words * F.round(F.col("rate") * F.col("tilt")).cast("decimal(13,0)"))).cast("double") / _UNIT).alias("slope"),
     )
@@ -77,8 +78,9 @@ def _newton(counts: DataFrame, state: DataFrame, most: int) -> DataFrame:
     high = F.when(F.col("value") > F.col("target"), F.least("high", "multiplier")).otherwise(F.col("high"))
     step = F.col("multiplier") - (F.log("value") - F.log("target")) * F.col("value") / F.col("slope")
     bounded = F.when((F.col("slope") > 0) & (F.col("value") > 0) & (step > low) & (step < high), step).otherwise((low + high) / 2)
-    error = F.abs(F.col("value") / F.col("target") - 1)
-    return summed.select("source_key", "target", "scale", F.when(error <= TOLERANCE / 10, F.col("multiplier")).otherwise(bounded).alias("multiplier"), low.alias("low"), high.alias("high"), error.alias("error"))
+    # rates are whole millionths, which a source's words cannot undercut
+    error = F.greatest(F.abs(F.col("value") - F.col("target")) - F.col("source_size") / _UNIT, F.lit(0.0)) / F.col("target")
+    return summed.select("source_key", "target", "source_size", "scale", F.when(error <= TOLERANCE / 10, F.col("multiplier")).otherwise(bounded).alias("multiplier"), low.alias("low"), high.alias("high"), error.alias("error"))
 
 
 def solve(counts: DataFrame, targets: DataFrame, most: int = MAX_COPIES) -> DataFrame:
@@ -88,7 +90,7 @@ def solve(counts: DataFrame, targets: DataFrame, most: int = MAX_COPIES) -> Data
     ratio = F.log(F.col("target") / F.col("source_size"))
     # every rate reaches its cap at the upper bound; Jensen's inequality gives the others
     top = (F.log(F.lit(float(most))) + 1e-6) * F.col("scale") / F.col("least")
-    state = start.select("source_key", "target", "scale", F.when(F.col("target") >= most * F.col("source_size") * (1 - 1e-12), top).otherwise(ratio).alias("multiplier"), F.least(ratio * F.col("scale") / F.col("least"), F.lit(-1e-9)).alias("low"), F.greatest(top, ratio).alias("high"), F.lit(1.0).alias("error"))
+    state = start.select("source_key", "target", "source_size", "scale", F.when(F.col("target") >= most * F.col("source_size") * (1 - 1e-12), top).otherwise(ratio).alias("multiplier"), F.least(ratio * F.col("scale") / F.col("least"), F.lit(-1e-9)).alias("low"), F.greatest(top, ratio).alias("high"), F.lit(1.0).alias("error"))
     written = None
     for _ in range(LOOKS):
         for _ in range(STEPS):
@@ -99,23 +101,20 @@ def solve(counts: DataFrame, targets: DataFrame, most: int = MAX_COPIES) -> Data
         written = state
         worst = state.agg(F.max("error")).first()[0]
         if worst is None or worst <= TOLERANCE:
-            break
-    return state.select("source_key", "multiplier", "scale")
+            return state.select("source_key", "multiplier", "scale")
+    raise ArithmeticError(f"Newton steps leave a relative error of {worst} after {LOOKS * STEPS} steps")
 
 
-def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MAX_COPIES, cost_power: float = COST_POWER) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MAX_COPIES, cost_power: float = COST_POWER, salt_rows: int = SALT_ROWS) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies, rate and source for each row of ``docs`` (doc_id, text, source)."""
     sizes = materialize(word_sizes(docs))
-    rows = sizes.count()
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(1 + rows // SALT_ROWS))
-    sizes = sizes.withColumn("salt", salt)
     root = F.round(F.pow(F.col("size").cast("double"), F.lit(1 - cost_power)), 6)
-    counts = materialize(sizes.groupBy("source_key", "source", "size", "salt").agg(F.count(F.lit(1)).alias("n")).withColumn("root", root))
+    counts = materialize(sizes.groupBy("source_key", "source", "size").agg(F.count(F.lit(1)).alias("n")).withColumn("root", root))
     sources = counts.groupBy("source_key", "source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     targets = materialize(source_targets(sources, weights, most))
     solved = solve(counts, targets, most)
 
-    by_size = Window.partitionBy("source_key").orderBy("size", "salt")
+    by_size = Window.partitionBy("source_key").orderBy("size")
     upto = by_size.rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("source_key")
     plan = counts.drop("source").join(targets, "source_key").join(solved, "source_key", "left")
@@ -127,9 +126,19 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MAX_COPIE
     plan = plan.withColumn("room", room).withColumn("before", F.sum("room").over(upto) - F.col("room"))
     settled = F.expr("case when size > 0 then least(greatest(0, abs(lacking) - before) + size div 2, room) div size else 0 end")
     plan = plan.withColumn("copies", F.col("copies") + F.signum("lacking").cast("long") * settled)
-    plan = plan.select("source_key", "size", "salt", "n", "copies", "rate", "source_size", "target")
-
+    salts = F.ceil(F.col("n") / salt_rows).cast("long")
+    plan = materialize(plan.select("source_key", "size", "n", "copies", "rate", "source_size", "target", salts.alias("salts")))
+
+    joined = sizes.join(plan, ["source_key", "size"]).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")))
+    # the share of each salt of a large group in what its copies are more than a multiple of its documents
+    large = plan.where("salts > 1").select("source_key", "size", "salts")
+    running = Window.partitionBy("source_key", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, 0)
+    held = sizes.join(large, ["source_key", "size"]).groupBy("source_key", "size", F.pmod(F.xxhash64("doc_id"), F.col("salts")).alias("salt")).agg(F.count(F.lit(1)).alias("held"))
+    upper = held.withColumn("upto", F.sum("held").over(running))
+    joined = joined.join(upper, ["source_key", "size", "salt"], "left")
+    rest = "cast(copies % n as decimal(38, 0))"
+    extra = F.expr(f"case when upto is null then copies % n else cast({rest} * upto div n - {rest} * (upto - held) div n as long) end")
     member = Window.partitionBy("source_key", "size", "salt").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")
-    joined = sizes.join(plan, ["source_key", "size", "salt"]).withColumn("rank", F.row_number().over(member))
-    copies = F.expr("copies div n") + (F.col("rank") <= F.expr("copies % n")).cast("long")
-    return joined.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (copies * F.col("size")).alias("taken"), F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("long").alias("copies"), (F.col("rate") / _UNIT).alias("rate"), "source")
+    copies = F.expr("copies div n") + (F.row_number().over(member) <= extra).cast("long")
+    joined = joined.withColumn("taken_copies", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("long"))
+    return joined.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("taken_copies") * F.col("size")).alias("taken"), F.col("taken_copies").alias("copies"), (F.col("rate") / _UNIT).alias("rate"), "source")
