@@ -298,7 +298,7 @@ FRAGMENTS = ["password", "Token", "api_key", "APIKEY", "=", ": ", " = ", '"', "'
 def fragments(spark):
     rng = random.Random(11)
     texts = ["".join(rng.choice(FRAGMENTS) for _ in range(rng.randrange(1, 14))) for _ in range(400)]
-    texts += [None, "", "a" * 50000, "1." * 20000, "a@b" + ".c" * 20000, "+" + "1" * 30000, "token=" * 3000, "1 " * 20000]
+    texts += [" ".join(rng.choice(FRAGMENTS) for _ in range(2500)), "x@y.z " * 8000, None, "", "a" * 50000, "1." * 20000, "a@b" + ".c" * 20000, "+" + "1" * 30000, "token=" * 3000, "1 " * 20000]
     return spark.createDataFrame([(i, t, f"s{i % 5}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
 
 
@@ -331,6 +331,15 @@ def test_ownership_separates_examples(spark):
     assert masked[1] == "[SECRET]" and masked[2] == "x [SECRET]" and masked[10] == example and masked[21] is None
 
 
+def test_masks_are_cut_from_long_texts(spark):
+    """Many live secrets in one text, some inside others; repeated rows."""
+    parts = [f"password = {'deadbeef' * 2}{i:08x} then {i:016x}{i:04x} and" for i in range(1, 400)]
+    text = " ".join(parts)
+    df = spark.createDataFrame([(1, text, "a"), (1, text, "a"), (None, "token: abcdefghijkl0", "b"), (2, "plain", None)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in secrets.mask_secrets(df).collect()}
+    assert got[1] == " ".join("[SECRET] then [SECRET] and" for _ in parts) and got[None] == "[SECRET]" and got[2] == "plain"
+
+
 def test_em_finds_reliable_labelers(spark):
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.6
@@ -606,6 +615,30 @@ def test_toxicity_held_out(spark):
     assert toxicity.score(docs, none).where("toxic").count() == 0
 
 
+def test_training_is_bounded_in_rows_and_bytes(spark):
+    """A doc_id with very many rows, equal and different ones, and long texts."""
+    rows = [(7, f"text {i % 3000}") for i in range(9000)] + [(8, "a b c " * 50000)] + [(100 + i, f"word{i} again") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1, 0), (7, 1, 0), (8, 0, 1), *[(100 + i, i % 2, i % 2) for i in range(50)], (101, None, 1), (None, 1, 1), (9, 1, None)], "doc_id long, quality int, toxic int")
+    assert toxicity.training_rows(docs, labels, 40).count() == 40
+    every = toxicity.training_rows(docs, labels, 100000).toArrow()
+    assert every.num_rows == 3000 + 1 + 50 + 1
+    assert toxicity.training_rows(docs, labels, 100000, 100_000).count() <= 3052
+    held = sum(len(t) for i, t in {(i, t) for i, t in rows if i != 8})
+    assert toxicity.training_rows(docs, labels, 100000, held).count() < 3052
+
+
+def test_toxicity_on_odd_rows(spark, docs, rows, nothing):
+    labels = spark.createDataFrame([(r[0], i % 2, int(i % 5 == 0)) for i, r in enumerate(rows)], "doc_id long, quality int, toxic int")
+    chain = toxicity.fit_chain(clash(docs), labels.unionByName(labels.limit(9)))
+    got = toxicity.score(clash(docs), chain).collect()
+    assert len(got) == len(rows) and Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
+    same = {tuple(r) for r in got if r["doc_id"] == 85}
+    assert len(same) == 1 and all(0 <= r[f"p_{c}"] <= 1 for r in got for c in toxicity.CHAIN)
+    assert toxicity.score(nothing, chain).count() == 0
+    assert toxicity.score(docs, toxicity.fit_chain(nothing, labels)).count() == len(rows)
+
+
 # empty tables ---------------------------------------------------------------------------------------------------
 
 

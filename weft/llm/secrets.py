@@ -65,18 +65,17 @@ def _columns(docs: DataFrame) -> list[Column]:
 
 def mask_secrets(docs: DataFrame, mask: str = "[SECRET]", max_repositories: int = MAX_REPOSITORIES, max_owners: int = MAX_OWNERS) -> DataFrame:
     """``docs`` with the candidates that look live masked in the text, and n_chars, if there, brought up to date."""
-    keyed = docs.withColumn("__row", row_hash(docs))
+    # a row is known by its doc_id and the hash of all its columns
+    keyed = docs.withColumn("__row", F.struct(row_hash(docs).alias("hash"), F.col("doc_id").cast("long").alias("id"), F.col("doc_id").isNull().alias("none")))
     rows = materialize(keyed.select(F.col("__row").alias("row"), *_columns(docs)).where(F.size("found") > 0).dropDuplicates(["row"]))
     live = _judge(rows, max_repositories, max_owners).select(F.col("row").alias("__row"), F.filter("found", lambda c: c["live"]).alias("__live")).where(F.size("__live") > 0)
 
-    def cut(acc: Column, c: Column) -> Column:
-        fresh = c["start"] >= acc["at"]
-        piece = F.concat(F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (c["start"] - acc["at"]).cast("int")), F.lit(mask))
-        return F.struct(F.greatest(acc["at"], c["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("__live", start, cut, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2147483647))))
-    out = keyed.join(live, "__row", "left").withColumn("text", F.when(F.col("__live").isNotNull(), masked).otherwise(F.col("text")))
+    # where the masked part of the text has reached after each span; a span that begins before that adds nothing
+    upto = sp.running(F.transform("__live", lambda c: c["end"]), F.greatest, 0)
+    before = F.concat(F.array(F.lit(0).cast("long")), upto)
+    piece = lambda c, k: F.when(c["start"] >= F.get(before, k), F.concat(F.substring(F.col("text"), (F.get(before, k) + 1).cast("int"), (c["start"] - F.get(before, k)).cast("int")), F.lit(mask))).otherwise(F.lit(""))
+    masked = F.concat(F.array_join(F.transform("__live", piece), ""), F.substring(F.col("text"), (F.element_at(before, -1) + 1).cast("int"), F.lit(2147483647)))
+    out = keyed.join(live.withColumnRenamed("__row", "__live_row"), F.col("__row").eqNullSafe(F.col("__live_row")), "left").withColumn("text", F.when(F.col("__live").isNotNull(), masked).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__live").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)

@@ -2,13 +2,16 @@
 
 Categories are predicted one after the other by logistic regressions over hashed words and word beginnings; the
 probability of each earlier category is a feature of every later model. Those features are out-of-fold predictions
-while training, so that a later model never sees a probability that was fitted on the row itself. The last category is
-the label ``toxic``; the earlier ones are weakly labelled: toxic rows whose words are in the category's list.
-
-The models are fitted on a bounded sample of labelled rows, the MAX_TRAIN with the smallest hash of their doc_id;
-every document is scored whole, in one pass without a shuffle. Null and empty texts have no features and score the
-intercepts. Without labels of both kinds every probability is the share of toxic labels, or 0. Labels that are null are
-left out. Repeated rows give repeated results; empty tables give an empty result. Other columns are not read.
+while training, so that a later model never sees a probability that was fitted on the row itself. The first category is
+low quality, the label ``quality`` reversed, where it is known; the next three are weakly labelled: toxic rows whose words
+are in the category's list; the last is the label ``toxic``.
+
+The models are fitted on a bounded sample: of the labelled documents the MAX_TRAIN rows with the smallest hash of their
+doc_id, as far as their texts fit into MAX_TRAIN_BYTES, rows that are equal counted once. Every document is scored whole,
+in one pass without a shuffle. Null and empty texts have no features and score the intercepts. Without labels of both
+kinds every probability is the share of toxic labels, or 0. Labels that are null, or whose ``toxic`` is, are left out; a
+missing ``quality`` is unknown. Repeated rows give repeated results; empty tables give an empty result. Other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -18,12 +21,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import materialize
 from . import tokens as tk
 
-#: Most labelled rows in training; features that a model keeps; rows that a feature must be in; folds; ridge penalty.
-MAX_TRAIN, MAX_FEATURES, MIN_ROWS, FOLDS, PENALTY = 8000, 8192, 5, 5, 0.1
+#: Most labelled rows in training, and bytes of their texts; features that a model keeps; rows that a feature must be in; folds; ridge penalty.
+MAX_TRAIN, MAX_TRAIN_BYTES, MAX_FEATURES, MIN_ROWS, FOLDS, PENALTY = 8000, 64 << 20, 8192, 5, 5, 0.1
 THRESHOLD = 0.4
 #: Bytes of the word beginnings that are features beside the whole words.
 PREFIXES = (4, 5, 6, 7, 8)
@@ -34,7 +38,7 @@ CATEGORIES = {
     "contempt": "worthless pathetic disgusting trash scum garbage vermin useless",
     "threat": "kill hurt destroy murder beat die shoot burn",
 }
-CHAIN = (*CATEGORIES, "toxic")
+CHAIN = ("low_quality", *CATEGORIES, "toxic")
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,8 +144,9 @@ def _fit(row: np.ndarray, col: np.ndarray, n_cols: int, earlier: np.ndarray, y:
     return Linear(w[:n_cols], w[n_cols : n_cols + k], float(w[-1]))
 
 
-def train(rows: np.ndarray, hashes: np.ndarray, toxic: np.ndarray, fold: np.ndarray, max_features: int = MAX_FEATURES, penalty: float = PENALTY) -> Chain:
-    """Fit the chain on rows numbered from 0 with the labels ``toxic``; ``rows`` and ``hashes`` list their distinct features."""
+def train(rows: np.ndarray, hashes: np.ndarray, toxic: np.ndarray, low_quality: np.ndarray, fold: np.ndarray, max_features: int = MAX_FEATURES, penalty: float = PENALTY) -> Chain:
+    """Fit the chain on rows numbered from 0 with the labels ``toxic`` and ``low_quality`` (NaN where unknown); ``rows`` and
+    ``hashes`` list their distinct features."""
     n = len(toxic)
     # features of too few rows go first: most hashes are in one row only
     held = np.sort(hashes)
@@ -169,30 +174,50 @@ def train(rows: np.ndarray, hashes: np.ndarray, toxic: np.ndarray, fold: np.ndar
     earlier = np.zeros((n, 0))
     models = []
     for name in CHAIN:
+        known = np.ones(n, bool)
         if name == "toxic":
             y = toxic.astype(float)
+        elif name == "low_quality":
+            known = ~np.isnan(low_quality)
+            y = np.where(known, low_quality, 0.0)
         else:
             y = np.zeros(n)
             y[marks[name]] = 1
             y *= toxic
+
+        def fit(some: np.ndarray, y: np.ndarray = y, earlier: np.ndarray = earlier) -> Linear:
+            back = np.cumsum(some) - 1
+            inside = some[row]
+            return _fit(back[row[inside]], col[inside], len(best), earlier[some], y[some], penalty)
+
         out_of_fold = np.zeros(n)
         if name != CHAIN[-1]:
             for k in range(FOLDS):
                 held = fold == k
-                back = np.cumsum(~held) - 1
-                inside = ~held[row]
-                m = _fit(back[row[inside]], col[inside], len(best), earlier[~held], y[~held], penalty)
+                m = fit(known & ~held)
                 score = m.intercept + np.bincount(row, m.weights[col], n) + earlier @ m.earlier
                 out_of_fold[held] = _sigmoid(score)[held]
-        models.append(_fit(row, col, len(best), earlier, y, penalty))
+        models.append(fit(known))
         earlier = np.column_stack([earlier, out_of_fold])
     return Chain(names[best], models)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """fold, toxic and the distinct features (packed) of the sampled labelled documents."""
-    chosen = labels.where("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_train)
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FOLDS)).cast("int").alias("fold"), "toxic", F.xxhash64("doc_id", "text").alias("place"), "text")
+def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES) -> DataFrame:
+    """fold, the labels and the distinct features (packed) of the sampled labelled documents."""
+    quality = F.col("quality").cast("int") if "quality" in labels.columns else F.lit(None).cast("int")
+    known = labels.where("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), quality.alias("quality"))
+    near = F.xxhash64("doc_id")
+    chosen = known.distinct().orderBy(near, "doc_id", "toxic", "quality").limit(max_train)
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    joined = joined.withColumn("place", F.xxhash64("doc_id", "text"))
+    # a doc_id may have many rows: the bounds hold for what the join gives
+    order = [near, F.col("doc_id"), F.col("place"), F.col("toxic"), F.col("quality")]
+    first = joined.select("doc_id", "place", "toxic", "quality", F.octet_length("text").alias("bytes")).distinct().orderBy(*order).limit(max_train)
+    running = F.sum(F.coalesce("bytes", F.lit(0))).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    first = materialize(first.withColumn("running", running).where(F.col("running") <= max_bytes).select("doc_id", "place", "toxic", F.coalesce("quality", F.lit(-1)).alias("quality")))
+    joined = joined.withColumn("quality", F.coalesce("quality", F.lit(-1))).join(F.broadcast(first), ["doc_id", "place", "toxic", "quality"], "left_semi")
+    joined = joined.groupBy("place", "toxic", "quality", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FOLDS)).cast("int").alias("fold")).agg(F.first("text").alias("text"))
+    joined = joined.select("fold", "toxic", "quality", "place", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,24 +229,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
                 fresh[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
                 rows, hashes = rows[fresh], hashes[fresh]
                 at = np.searchsorted(rows, np.arange(part.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([hashes[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["fold", "toxic", "place", "features"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([hashes[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["fold", "toxic", "quality", "place", "features"])
 
     tk.batch_conf(docs.sparkSession)
-    return joined.mapInArrow(run, "fold int, toxic int, place long, features binary")
+    return joined.mapInArrow(run, "fold int, toxic int, quality int, place long, features binary")
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Chain:
-    """Fit the chain on the driver; at most ``max_train`` labels reach it."""
-    table = training_rows(docs, labels, max_train).toArrow()
+def fit_chain(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES) -> Chain:
+    """Fit the chain on the driver; at most ``max_train`` rows of ``max_bytes`` of text reach it."""
+    table = training_rows(docs, labels, max_train, max_bytes).toArrow()
     # in an order of its own, whatever the tasks' order, so that reruns agree
-    order = np.lexsort((table.column("toxic").to_numpy(), table.column("place").to_numpy()))
+    order = np.lexsort((table.column("quality").to_numpy(), table.column("toxic").to_numpy(), table.column("place").to_numpy()))
     table = table.take(pa.array(order)).combine_chunks()
     packed = table.column("features").combine_chunks() if table.num_rows else None
     sizes = np.array([len(v) // 8 for v in packed.to_pylist()] if packed is not None else [], np.int64)
     hashes = np.frombuffer(b"".join(packed.to_pylist()), np.uint64) if packed is not None else np.zeros(0, np.uint64)
     fold, toxic = table.column("fold").to_numpy(), table.column("toxic").to_numpy() > 0
+    quality = table.column("quality").to_numpy()
+    low_quality = np.where(quality < 0, np.nan, quality == 0)
     del table, packed
-    return train(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), hashes, toxic, fold)
+    return train(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), hashes, toxic, low_quality, fold)
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
