@@ -42,9 +42,9 @@ N_WORDS, PERCENT = 5, 80
 BLOCK_BYTES, LANE_SHINGLES = 4 << 20, 1 << 20
 #: Parts of the hash space in the suffix filter, in words of 64.
 SKETCH = 512
-#: A round with pivots must leave at most this share of the postings, or the last round begins; postings of a hash that
-#: meet as one cell there.
-SHRINK, CELL = 0.8, 128
+#: A round with pivots must leave at most this share of the components, or the last round begins; postings of a hash
+#: that meet as one cell there.
+SHRINK, CELL = 0.5, 128
 _U = np.uint64
 
 
@@ -356,24 +356,24 @@ def linked_components(sets: DataFrame) -> DataFrame | None:
     postings = prefixes.select("node", "n", "offset", "sketch", F.posexplode("prefix").alias("pos", "hash")).select("hash", "node", "n", (F.col("offset") + F.col("pos")).alias("at"), F.col("offset").alias("alone"), "sketch")
     held = materialize(postings.join(shared, "hash", "left_semi").withColumn("comp", F.col("node")))
     side = lambda x: [F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("at").alias(f"at_{x}"), F.col("alone").alias(f"alone_{x}"), F.col("sketch").alias(f"sketch_{x}"), F.col("comp").alias(f"comp_{x}")]
-    comps, tried, size, turn, last = None, None, held.count(), 0, False
-    while size and not last:
-        # the last round begins when a round with pivots settles little more
-        if turn and (left := _alive(held, comps)).count() > SHRINK * size:
-            last = True
+    comps, tried, apart, turn, last = None, None, held.select("node").distinct().count(), 0, False
+    while apart and not last:
         if turn:
+            left = _alive(held, comps)
             discard(held)
-            held = left
-            size = held.count()
+            held, before = left, apart
+            apart = held.select("comp").distinct().count()
+            # the last round begins when a round with pivots joins few more components
+            last = apart > SHRINK * before
         if not last:
-            pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), *side("p"))).alias("pivot")
+            # the class with the smallest share of shingles of its own is the likeliest to be near to all; later rounds stray
+            stray = F.pmod(F.xxhash64("node", "hash", F.lit(turn)), F.lit(1000)) * F.lit(1e-4 * turn)
+            pivot = F.min(F.struct((F.col("alone") / F.col("n") + stray).alias("order"), F.col("node"), *side("p"))).alias("pivot")
             runs = held.groupBy("hash").agg(pivot).select(F.col("hash").alias("hash_p"), "pivot.*")
             met = held.select("hash", *side("d")).join(runs, (F.col("hash") == F.col("hash_p")) & (F.col("comp_d") != F.col("comp_p")) & _passes("d", "p"))
         else:
             met = _all_pairs(held, side)
-        pairs = met.groupBy("d", "p").agg(F.count(F.lit(1)).alias("votes"))
-        if not last:
-            pairs = pairs.groupBy("d").agg(F.max_by("p", F.struct("votes", "p")).alias("p"))
+        pairs = met.select("d", "p").distinct()
         if tried is not None:
             pairs = pairs.join(tried.select("d", "p"), ["d", "p"], "left_anti").join(tried.select(F.col("p").alias("d"), F.col("d").alias("p")), ["d", "p"], "left_anti")
         verified = materialize(_verify(pairs, sets))
