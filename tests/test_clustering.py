@@ -17,7 +17,7 @@ def blobs(spark, seed=9, n=40, dims=4):
 
 
 def test_document_types(spark):
-    rows = [(0, [0.36, 0.34, 0.30], 1.2), (1, [0.36, 0.34, 0.30], 0.8), (2, [0.39, 0.31, 0.30], 1.2), (3, [0.45, 0.44, 0.11], 1.2), (4, [0.70, 0.20, 0.10], 0.4), (5, [0.30], 2.0)]
+    rows = [(0, [0.35, 0.33, 0.32], 1.7), (1, [0.35, 0.33, 0.32], 0.6), (2, [0.38, 0.32, 0.30], 1.7), (3, [0.48, 0.46, 0.06], 1.7), (4, [0.81, 0.12, 0.07], 0.2), (5, [0.25], 3.0)]
     df = spark.createDataFrame(rows, "id long, u array<double>, d double")
     got = [r[0] for r in df.orderBy("id").select(classify.document_type(F.col("d"), F.lit(1.0))).collect()]
     assert got == ["noise", "boundary", "core", "core", "core", "core"]
@@ -111,8 +111,8 @@ def test_drift_fixtures(spark):
     held = run([(4, 5), (4, 5), (0, 10), (0, 10)], enter=0.5, release=0.2, alpha=0.5, min_samples=10)
     assert [r["evaluated"] for r in held] == [False, True, True, True]
     assert [r["alarm"] for r in held] == [False, True, True, False]
-    smooth = run([(1, 10), (3, 10), (5, 10), (7, 10)], enter=0.5, release=0.2, alpha=0.5, min_samples=10)
-    assert np.allclose([r["ewma"] for r in smooth], [0.1, 0.2, 0.35, 0.525])
+    smooth = run([(2, 20), (6, 20), (12, 20), (16, 20)], enter=0.5, release=0.2, alpha=0.5, min_samples=10)
+    assert np.allclose([r["ewma"] for r in smooth], [0.1, 0.2, 0.4, 0.6])
     assert [r["alarm"] for r in smooth] == [False, False, False, True]
     cool = run([(10, 10)] * 4, enter=0.5, min_samples=10, cooldown=2)
     assert [r["recluster"] for r in cool] == [True, False, False, True]

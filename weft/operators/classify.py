@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import vectors as V
-from .metrics import percentile_rank
+from . import ranks
 
 MIN_MEMBERSHIP, MAX_GAP = 0.40, 0.05
 
@@ -24,27 +24,28 @@ def document_type(distance: Column, threshold: Column, u: str = "u", min_members
 def noise_scores(df: DataFrame, distance: str = "distance", cluster: str = "cluster", u: str = "u") -> DataFrame:
     """Adds noise_score: the cube root of three percentile ranks (1 - top membership, 1 - gap, distance in the cluster)."""
     held = df.withColumn("__top", F.round(1 - V.top(u, 1), 12)).withColumn("__gap", F.round(1 - V.gap(u), 12)).withColumn("__far", F.round(F.col(distance), 12))
-    score = F.cbrt(percentile_rank("__top") * percentile_rank("__gap") * percentile_rank("__far", cluster))
-    return held.withColumn("noise_score", F.when(F.size(u) < 2, 0.0).otherwise(score)).drop("__top", "__gap", "__far")
+    held = ranks.percentile_ranks(ranks.percentile_ranks(ranks.percentile_ranks(held, "__top", "__r1"), "__gap", "__r2"), "__far", "__r3", cluster)
+    score = F.when(F.size(u) < 2, 0.0).otherwise(F.cbrt(F.col("__r1") * F.col("__r2") * F.col("__r3")))
+    return held.withColumn("noise_score", score).select(*df.columns, "noise_score")
 
 
 def forced_noise(df: DataFrame, ratio: float, score: str = "noise_score", id_: str = "id") -> DataFrame:
     """Adds is_forced_noise for the ceil(n * ratio) highest scores; ties go to the smaller id as text.
 
-    The cut is a top-k report whose size is a share of the rows: the score at the cut comes from a count over distinct
-    scores, so that only rows tied with it are ranked together.
+    The cut is a top-k report whose size is a share of the rows. The score at the cut comes from running counts over
+    distinct scores, and the cut among the rows tied there from running counts over their ids.
     """
     n = df.count()
     k = -(-n * round(ratio * 1_000_000) // 1_000_000)
     counts = df.groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    above = counts.withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("s")))).where(F.col("upto") >= k).agg(F.max("s").alias("cut")).first()
-    cut = above["cut"] if k and above else None
-    if cut is None:
+    reached = ranks.running_counts(counts, [F.desc("s")]).where(F.col("upto") >= k)
+    at = reached.agg(F.min(F.struct("upto", "s", "n")).alias("at")).first()["at"] if k else None
+    if at is None:
         return df.withColumn("is_forced_noise", F.lit(False))
-    higher = df.where(F.col(score) > cut).count()
-    ties = Window.partitionBy(F.when(F.col(score) == cut, F.lit(0)).otherwise(F.xxhash64(id_))).orderBy(F.col(id_).cast("string"))
-    chosen = (F.col(score) > cut) | ((F.col(score) == cut) & (F.row_number().over(ties) <= k - higher))
-    return df.withColumn("is_forced_noise", chosen)
+    tied = df.where(F.col(score) == at["s"]).groupBy(F.col(id_).cast("string").alias("__tied")).agg(F.count(F.lit(1)).alias("n"))
+    chosen = ranks.running_counts(tied, [F.col("__tied")]).where(F.col("upto") <= k - (at["upto"] - at["n"])).select("__tied")
+    marked = df.join(chosen, (F.col(score) == at["s"]) & (F.col(id_).cast("string") == F.col("__tied")), "left")
+    return marked.withColumn("is_forced_noise", F.coalesce(F.col(score) > at["s"], F.lit(False)) | F.col("__tied").isNotNull()).drop("__tied")
 
 
 def keep_large_clusters(df: DataFrame, cluster: str, min_size: int) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import vectors as V
+from . import ranks
+from .fcm import matrix
 
 
 @dataclass(frozen=True)
@@ -58,9 +63,28 @@ def contributions(scored: DataFrame, m: float, path: Column | None = None) -> Da
 
 
 def statistics(contrib: DataFrame, sign: int = 1) -> DataFrame:
-    """(path, k, dim, value, weight): weighted sums of the contributions, signed."""
-    cells = contrib.select("path", "x", F.posexplode("w").alias("k", "w")).select("path", F.col("k").cast("long").alias("k"), "w", F.posexplode("x").alias("dim", "v"))
-    return cells.groupBy("path", "k", F.col("dim").cast("long").alias("dim")).agg((sign * F.sum(F.col("w") * F.col("v"))).alias("value"), (sign * F.sum("w")).alias("weight"))
+    """(path, k, dim, value, weight): weighted sums of the contributions, signed; one partial sum for each path, center and
+    partition leaves the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            paths, every = batch.column(0).to_pylist(), matrix(batch.column(1))
+            widths = np.array(batch.column(2).value_lengths())
+            for path, width in sorted({(p, int(n)) for p, n in zip(paths, widths, strict=True)}):
+                mine = np.flatnonzero([p == path and n == width for p, n in zip(paths, widths, strict=True)])
+                w = matrix(batch.column(2).take(pa.array(mine)))
+                total, weight = held.get(path, (0.0, 0.0))
+                held[path] = (total + w.T @ every[mine], weight + w.sum(0))
+        rows = [(path, k, total[k].tolist(), float(weight[k])) for path, (total, weight) in held.items() for k in range(len(weight))]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.list_(pa.float64()), pa.float64()), strict=True)], ["path", "k", "sums", "weight"])
+
+    parts = contrib.select("path", "x", "w").mapInArrow(run, "path string, k long, sums array<double>, weight double")
+    cells = parts.select("path", "k", "weight", F.posexplode("sums").alias("dim", "v"))
+    return cells.groupBy("path", "k", F.col("dim").cast("long").alias("dim")).agg((sign * F.sum("v")).alias("value"), (sign * F.sum("weight")).alias("weight"))
 
 
 def apply_delta(stats: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:
@@ -128,3 +152,42 @@ def drift(batches: DataFrame, policy: DriftPolicy = DriftPolicy(), order: str =
     ordered = batches.select(F.col(order).cast("string").alias("batch"), F.col(order).alias("o"), F.col("noise").cast("double").alias("noise"), F.col("n").cast("double").alias("n"))
     folded = ordered.agg(F.array_sort(F.collect_list(F.struct("o", "batch", "noise", "n"))).alias("b")).select(F.explode(F.expr(f"aggregate(b, {start}, {step}, s -> s.out)")).alias("r"))
     return folded.select("r.*")
+
+
+def refreshed_thresholds(scored: DataFrame, old: DataFrame, z: float = 3.5) -> DataFrame:
+    """(path, k, threshold) of ``old`` with the robust limit of the distances in ``scored`` (path, k, distance).
+
+    A cluster of fewer than 4 documents keeps its threshold; one without spread has none (infinite).
+    """
+    keyed = scored.select(F.struct("path", "k").alias("c"), F.col("distance").alias("d"))
+    middle = ranks.medians(keyed, "d", "c")
+    far = keyed.join(middle.drop("n"), "c").select("c", F.abs(F.col("d") - F.col("median")).alias("far"))
+    both = middle.join(ranks.medians(far, "far", "c", "mad").drop("n"), "c").select("c.path", "c.k", "n", "median", "mad")
+    new = F.when(F.col("mad") <= 1e-12, F.lit(float("inf"))).otherwise(F.col("median") + z * 1.4826 * F.col("mad"))
+    return old.join(both, ["path", "k"], "left").select("path", "k", F.when(F.coalesce(F.col("n"), F.lit(0)) < 4, F.col("threshold")).otherwise(new).alias("threshold"))
+
+
+def xie_beni_degraded(current: Column, base: Column, limit: float = 0.05) -> Column:
+    """Whether the index has grown by at least ``limit`` of its base."""
+    return (current - base) / F.greatest(F.abs(base), F.lit(1e-12)) >= limit
+
+
+def held_out_split(docs: DataFrame, ratio: float, noise: float = 0.05, seed: int = 42, id_: str = "id", vector: str = "x") -> DataFrame:
+    """``docs`` with ``operation``: about ``ratio`` of the rows, half of them ``new`` (left out of the first fit) and half
+    ``modified``, which appear as ``initial`` too and once more with unit noise of ``noise`` times their length added.
+
+    Rows are chosen by a hash of their id, so the choice needs no order and repeats; the noise follows from id, place and
+    seed.
+    """
+    if not 0 < ratio < 1 or noise < 0:
+        raise ValueError("ratio must lie between 0 and 1, and noise must not be negative")
+    draw = F.pmod(F.xxhash64(F.col(id_), F.lit(seed)), F.lit(1_000_000)) / 1e6
+    kind = F.when(draw < ratio / 2, "new").when(draw < ratio, "modified").otherwise("initial")
+    marked = docs.withColumn("operation", kind)
+    part = lambda k, salt: (F.pmod(F.xxhash64(F.col(id_), k, F.lit(seed + salt)), F.lit(999_983)) + 1) / 999_984
+    # Box-Muller from two hashes of the place
+    step = F.transform(vector, lambda _, k: F.sqrt(-2 * F.log(part(k, 1))) * F.cos(6.283185307179586 * part(k, 2)))
+    moved = marked.where("operation = 'modified'").withColumn("__n", step)
+    scale = noise * V.norm(vector) / F.greatest(V.norm("__n"), F.lit(1e-12))
+    moved = moved.withColumn(vector, F.zip_with(vector, F.transform("__n", lambda x: x * scale), lambda a, b: a + b)).drop("__n")
+    return marked.withColumn("operation", F.when(F.col("operation") == "modified", "initial").otherwise(F.col("operation"))).unionByName(moved)

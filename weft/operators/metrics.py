@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import vectors as V
+from . import ranks
 
 
 def objective(scored: DataFrame, m: float) -> Column:
@@ -126,23 +127,17 @@ def silhouette(df: DataFrame, id_: str = "id", vector: str = "x", cluster: str =
     return row.select("id", "cluster", "a", "b", s.alias("s"))
 
 
-def average_rank(x: str, *partition: str) -> Column:
-    """Rank with ties averaged."""
-    part = Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0))
-    ties = Window.partitionBy(*partition, x) if partition else Window.partitionBy(x)
-    return F.rank().over(part.orderBy(x)) + (F.count(F.lit(1)).over(ties) - 1) / 2
-
-
-def percentile_rank(x: str, *partition: str) -> Column:
-    """Average-tie rank over the number of rows."""
-    part = Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0))
-    return average_rank(x, *partition) / F.count(F.lit(1)).over(part)
+def average_rank(x: str) -> Column:
+    """Rank with ties averaged, over a table of a few candidates; ``ranks`` has the one for documents."""
+    return F.rank().over(Window.partitionBy(F.lit(0)).orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(x)) - 1) / 2
 
 
 def robust_thresholds(df: DataFrame, cluster: str, distance: str, z: float = 3.0) -> DataFrame:
     """median + z * 1.4826 * MAD of each cluster's distances; infinite below 4 rows or without spread."""
-    middle = df.groupBy(cluster).agg(F.median(distance).alias("median"))
-    spread = df.join(middle, cluster).groupBy(cluster).agg(F.first("median").alias("median"), F.median(F.abs(F.col(distance) - F.col("median"))).alias("mad"), F.count(F.lit(1)).alias("n"))
+    held = df.select(cluster, F.col(distance).alias("__d"))
+    middle = ranks.medians(held, "__d", cluster)
+    far = held.join(middle.drop("n"), cluster).select(cluster, F.abs(F.col("__d") - F.col("median")).alias("__far"))
+    spread = middle.join(ranks.medians(far, "__far", cluster, "mad").drop("n"), cluster)
     return spread.select(cluster, "n", "median", "mad", F.when((F.col("n") < 4) | (F.col("mad") <= 1e-12), F.lit(float("inf"))).otherwise(F.col("median") + z * 1.4826 * F.col("mad")).alias("threshold"))
 
 

@@ -23,6 +23,10 @@ LOCAL_CELLS = 4_000_000
 MIN_SEPARATION = 1e-3
 
 
+#: Rows of terms that reach the driver for each lane; with more partitions, they are added up in the cluster first.
+ADD_PARTITIONS = 16
+
+
 @dataclass
 class Lane:
     """One fit and its state."""
@@ -54,7 +58,20 @@ def seed_rows(docs: DataFrame, most: int = SEED_ROWS) -> dict[int, np.ndarray]:
     """Up to ``most`` unit rows of every node, those with the smallest hash of their id."""
     from pyspark.sql import Window
 
-    ranked = docs.withColumn("__r", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("id"), "id"))).where(F.col("__r") <= most).select("node", "x").toArrow()
+    # a hash limit keeps all but a few more than ``most`` rows of a node where they are; it is widened until enough pass
+    held = docs.withColumn("__h", F.xxhash64("id"))
+    sizes = {r["node"]: r["n"] for r in docs.groupBy("node").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = {node: min(1.0, (most + 6 * most**0.5 + 20) / n) for node, n in sizes.items()}
+    while True:
+        limits = [(node, -(1 << 63) + int(part * ((1 << 64) - 1))) for node, part in share.items()]
+        limit = F.coalesce(*[F.when(F.col("node") == node, F.lit(at)) for node, at in limits if at < (1 << 63) - 1], F.lit((1 << 63) - 1))
+        few = held.where(F.col("__h") <= limit)
+        got = {r["node"]: r["n"] for r in few.groupBy("node").agg(F.count(F.lit(1)).alias("n")).collect()} if min(share.values(), default=1) < 1 else sizes
+        short = [node for node, n in sizes.items() if got.get(node, 0) < min(n, most)]
+        if not short:
+            break
+        share |= {node: min(1.0, 2 * share[node]) for node in short}
+    ranked = few.withColumn("__r", F.row_number().over(Window.partitionBy("node").orderBy("__h", "id"))).where(F.col("__r") <= most).select("node", "x").toArrow()
     node = ranked.column(0).to_numpy()
     x = fcm.unit_rows(fcm.matrix(ranked.column(1)))
     return {int(n): x[node == n] for n in np.unique(node)}
@@ -145,13 +162,25 @@ def _pass(docs: DataFrame, lanes: list[tuple[int, Lane]], final: bool) -> dict[i
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["lane", "sums", "weight", "stats", "sizes"])
 
-    # one row of K x d numbers for each lane and partition reaches the driver
+    terms = "lane long, sums array<double>, weight array<double>, stats array<double>, sizes array<double>"
+    found = docs.select("node", "x").mapInArrow(run, terms)
+    if docs.rdd.getNumPartitions() > ADD_PARTITIONS:  # rows of K x d numbers are added up in the cluster first
+        found = found.groupBy("lane", F.pmod(F.spark_partition_id(), F.lit(ADD_PARTITIONS))).applyInArrow(_add_rows, terms)
     out: dict[int, list[np.ndarray]] = {}
-    for r in docs.select("node", "x").mapInArrow(run, "lane long, sums array<double>, weight array<double>, stats array<double>, sizes array<double>").collect():
+    for r in found.collect():
         out[r["lane"]] = _add(out.get(r["lane"]), [np.array(r[c]) for c in ("sums", "weight", "stats", "sizes")])
     return out
 
 
+def _add_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of terms for all rows of a lane."""
+    lane, held = None, None
+    for batch in batches:
+        for r in batch.to_pylist():
+            lane, held = r["lane"], _add(held, [np.array(r[c]) for c in ("sums", "weight", "stats", "sizes")])
+    yield pa.RecordBatch.from_arrays([pa.array([lane]), *(pa.array([a.tolist()]) for a in held)], ["lane", "sums", "weight", "stats", "sizes"])
+
+
 def _fit_small(docs: DataFrame, lanes: list[Lane], starts: dict[int, np.ndarray], max_iter: int, tol: float) -> None:
     """Fit each lane in a task of its own on a copy of all rows, which are bounded by LOCAL_CELLS: one job in all."""
     held = docs.select("node", "x").toArrow()

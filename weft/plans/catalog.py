@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analyses, clustering, incremental, models, ranking, records
+from . import analyses, checks, clustering, incremental, models, ranking, records
 
-_PARTS = (clustering, ranking, incremental, records, analyses)
+_PARTS = (clustering, ranking, incremental, records, analyses, checks)
 QUERIES: dict = {k: v for part in (*_PARTS, models) for k, v in part.QUERIES.items()}
 ORACLES: dict = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
 

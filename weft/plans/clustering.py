@@ -81,9 +81,9 @@ def sfcm_estep(spark, sf_dir):
     return s.select("id", F.posexplode(F.arrays_zip("u", "d2")).alias("k", "z")).select("id", F.col("k").cast("long"), F.round("z.u", 6).alias("u"), F.round("z.d2", 6).alias("d2"))
 
 
-@_query("sfcm_exact_match_ties", BASE + ", c AS (SELECT unnest([0, 1, 2]) AS k, unnest([0, 1, 1]) AS ref), " + _membership("", "SELECT n.id, n.label, c.k, greatest(2 - 2 * list_dot_product(n.x, r.x), 0) AS d2 FROM n, c JOIN n r ON r.id = c.ref WHERE n.id < 5", 2.0) + " SELECT id, k::BIGINT AS k, round(u, 6) AS u FROM u")
+@_query("sfcm_exact_match_ties", BASE + ", c AS (SELECT unnest([0, 1, 2]) AS k, unnest([0, 1, 1]) AS ref), " + _membership("", "SELECT n.id, n.label, c.k, greatest(2 - 2 * list_dot_product(n.x, r.x), 0) AS d2 FROM n, c JOIN n r ON r.id = c.ref", 2.0) + " SELECT id, k::BIGINT AS k, round(u, 6) AS u FROM u")
 def sfcm_exact_match_ties(spark, sf_dir):
-    docs = T.embeddings(spark, sf_dir).where("id < 5")
+    docs = T.embeddings(spark, sf_dir)
     points = {r["id"]: r["x"] for r in docs.where("id < 2").collect()}
     u = fcm.e_step(docs, [points[0], points[1], points[1]], 2.0)
     return u.select("id", F.posexplode("u").alias("k", "u")).select("id", F.col("k").cast("long"), F.round("u", 6).alias("u"))

@@ -146,10 +146,10 @@ def selective_refresh_ids(spark, sf_dir):
 def _before_after(spark, sf_dir):
     docs = T.embeddings(spark, sf_dir)
     path = lambda k: F.concat_ws("/", (F.col("label") % 3).cast("string"), F.pmod(F.col("label") + F.when(F.col("id") % k == 0, 1).otherwise(0), F.lit(10)).cast("string")).alias("cluster_path")
-    return docs.where("id < 400").select("id", path(1000)), docs.where("id >= 100").select("id", path(4))
+    return docs.select("id", path(1000)), docs.select("id", path(4))
 
 
-_PATHS = "WITH p AS (SELECT vec_id AS id, (label % 3) || '/' || ((label + (vec_id % 1000 = 0)::INT) % 10) AS path FROM embeddings WHERE vec_id < 400), q AS (SELECT vec_id AS id, (label % 3) || '/' || ((label + (vec_id % 4 = 0)::INT) % 10) AS path FROM embeddings WHERE vec_id >= 100)"
+_PATHS = "WITH p AS (SELECT vec_id AS id, (label % 3) || '/' || ((label + (vec_id % 1000 = 0)::INT) % 10) AS path FROM embeddings), q AS (SELECT vec_id AS id, (label % 3) || '/' || ((label + (vec_id % 4 = 0)::INT) % 10) AS path FROM embeddings)"
 
 
 @_query("occupancy_change", _PATHS + ", a AS (SELECT path, count(*) / (SELECT count(*) FROM p) AS s FROM p GROUP BY path), b AS (SELECT path, count(*) / (SELECT count(*) FROM q) AS s FROM q GROUP BY path) SELECT round(sum(abs(coalesce(a.s, 0) - coalesce(b.s, 0))) / 2, 6) AS distance FROM a FULL JOIN b USING (path)")

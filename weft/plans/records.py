@@ -147,10 +147,10 @@ def cache_position_read(spark, sf_dir):
     return T.read(spark, sf_dir, "embeddings").where(F.col("vec_id").between(100, 149)).select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("label"))
 
 
-@_query("schema_union_append", "SELECT vec_id AS id, label::BIGINT AS label, NULL::VARCHAR AS lang FROM embeddings UNION ALL SELECT doc_id, NULL, lang FROM documents WHERE doc_id % 4 = 0")
+@_query("schema_union_append", "SELECT vec_id AS id, label::BIGINT AS label, NULL::VARCHAR AS lang FROM embeddings UNION ALL SELECT doc_id, NULL, lang FROM documents")
 def schema_union_append(spark, sf_dir):
     e = T.embeddings(spark, sf_dir).select("id", "label")
-    return e.unionByName(T.read(spark, sf_dir, "documents").where("doc_id % 4 = 0").select(F.col("doc_id").alias("id"), "lang"), allowMissingColumns=True)
+    return e.unionByName(T.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang"), allowMissingColumns=True)
 
 
 @_query("key_set_difference", "SELECT vec_id AS id FROM embeddings EXCEPT SELECT doc_id FROM labels")

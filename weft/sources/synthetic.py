@@ -65,7 +65,8 @@ def tagged(spark: SparkSession, n: int = 400, roots: int = 6, dims: int = 24, co
     return _rows(spark, n, "id long, p array<double>, content array<double>, tag array<double>, observed array<double>, missing boolean, wrong boolean, general boolean, extra boolean", make)
 
 
-#: Rows, width, clusters, spread, and what is odd about each adversarial case.
+# Names and sizes of the adversarial cases, and the seed below. Rows, width, clusters, spread, and what is
+# odd about each case.
 CASES = {
     "imbalanced_overlap": (400, 64, 4, 0.35, "sizes fall by half from cluster to cluster"),
     "duplicate_ties": (360, 64, 6, 0.10, "every row comes three times"),
@@ -75,7 +76,11 @@ CASES = {
 }
 
 
-def adversarial(spark: SparkSession, name: str, seed: int = 20260809) -> DataFrame:
+#: Fixed value.
+SEED = 20260809
+
+
+def adversarial(spark: SparkSession, name: str, seed: int = SEED) -> DataFrame:
     """(id, truth_label, truth_noise, x) of a case, at unit length."""
     n, dims, clusters, spread, _ = CASES[name]
     rng = np.random.default_rng([seed, n, dims, clusters])
