@@ -38,7 +38,7 @@ from ..session import discard, materialize, release
 from . import substrings, tokens as tk
 from .suffix_sort import SuffixSorter
 
-LENGTH, BLOCK, GROUP, PASSAGE = 400, 32, 500, 51
+LENGTH, BLOCK, GROUP, PASSAGE = 400, 32, 1000, 51
 #: Bytes of segments that are sorted together.
 SORT_BYTES = 256 << 10
 
