@@ -34,7 +34,10 @@ k AS (SELECT q.r, min(doc_id) AS component_id FROM q JOIN d ON d.r = q.o GROUP B
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM d LEFT JOIN n USING (r) LEFT JOIN k USING (r)"""
 
 SUBSTRINGS = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (SELECT r, coalesce(doc_id::VARCHAR, '') || md5(h) AS holder, unnest(range(1, len(words) - 49)) AS i, unnest(list_transform(range(1, len(words) - 49), lambda i: md5(array_to_string(words[i:i + 50], ' ')))) AS g FROM d WHERE len(words) > 50),
+u AS (SELECT r, i FROM g QUALIFY min(holder) OVER (PARTITION BY g) <> max(holder) OVER (PARTITION BY g)),
+c AS (SELECT r, sum(span)::BIGINT AS words FROM (SELECT r, least(51, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i) - i, 51)) AS span FROM u) GROUP BY r),
 w AS (SELECT r, unnest(range(0, len(h) // 2 - 399)) AS i, unnest(list_transform(range(0, len(h) // 2 - 399), lambda i: md5(substr(h, 2 * i + 1, 800)))) AS g FROM d WHERE len(h) >= 800),
 t AS (SELECT r, i FROM w QUALIFY count(*) OVER (PARTITION BY g) > 1),
 b AS (SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > 400, true) AS fresh FROM t),
@@ -42,7 +45,7 @@ n AS (SELECT r, i, sum(fresh::INT) OVER (PARTITION BY r ORDER BY i) AS k FROM b)
 s AS (SELECT r, k, min(i) AS a, max(i) + 400 AS z FROM n GROUP BY r, k),
 p AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM s),
 q AS (SELECT r, sum(z - a)::BIGINT AS removed, count(*) AS spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS front, max(z) AS last FROM p JOIN d USING (r) GROUP BY r)
-SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN q USING (r)"""
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256, coalesce(c.words, 0) AS n_passage_words FROM d LEFT JOIN q USING (r) LEFT JOIN c USING (r)"""
 
 CHAT = r"""
 WITH t AS (SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
