@@ -44,10 +44,18 @@ class Lane:
     proxy: float = 0.0
     rows: int = 0
     done: bool = False
+    geometry: str = "spherical"
+
+    @property
+    def space(self) -> fcm.Spherical:
+        return fcm.GEOMETRIES[self.geometry]
 
     @property
     def separation(self) -> float:
-        d = ((self.centers[:, None] - self.centers[None]) ** 2).sum(2)
+        if self.geometry == "spherical":
+            d = ((self.centers[:, None] - self.centers[None]) ** 2).sum(2)
+        else:
+            d = self.space.distances(self.centers, self.centers)
         return float(np.sqrt(d[~np.eye(self.k, dtype=bool)].min())) if self.k > 1 else 0.0
 
     def valid(self, min_size: int) -> bool:
@@ -55,7 +63,7 @@ class Lane:
 
 
 def seed_rows(docs: DataFrame, most: int = SEED_ROWS) -> dict[int, np.ndarray]:
-    """Up to ``most`` unit rows of every node, those with the smallest hash of their id."""
+    """Up to ``most`` rows of every node, those with the smallest hash of their id."""
     from pyspark.sql import Window
 
     # a hash limit keeps all but a few more than ``most`` rows of a node where they are; it is widened until enough pass
@@ -73,31 +81,31 @@ def seed_rows(docs: DataFrame, most: int = SEED_ROWS) -> dict[int, np.ndarray]:
         share |= {node: min(1.0, 2 * share[node]) for node in short}
     ranked = few.withColumn("__r", F.row_number().over(Window.partitionBy("node").orderBy("__h", "id"))).where(F.col("__r") <= most).select("node", "x").toArrow()
     node = ranked.column(0).to_numpy()
-    x = fcm.unit_rows(fcm.matrix(ranked.column(1)))
+    x = fcm.matrix(ranked.column(1))
     return {int(n): x[node == n] for n in np.unique(node)}
 
 
-def plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k starting centers by squared-distance sampling."""
+def plus_plus(x: np.ndarray, k: int, rng: np.random.Generator, space: fcm.Spherical = fcm.GEOMETRIES["spherical"]) -> np.ndarray:
+    """k starting centers by squared-distance sampling among prepared rows."""
     chosen = [int(rng.integers(len(x)))]
-    d = np.maximum(2 - 2 * x @ x[chosen[0]], 0)
+    d = space.distances(x, x[chosen])[:, 0]
     while len(chosen) < k:
         total = d.sum()
         pick = int(rng.choice(len(x), p=d / total)) if total > 0 else int(rng.integers(len(x)))
         chosen.append(pick)
-        d = np.minimum(d, np.maximum(2 - 2 * x @ x[pick], 0))
+        d = np.minimum(d, space.distances(x, x[[pick]])[:, 0])
     return x[chosen].copy()
 
 
-def _terms(x: np.ndarray, v: np.ndarray, before: np.ndarray | None, m: float, final: bool) -> list[np.ndarray]:
+def _terms(x: np.ndarray, v: np.ndarray, before: np.ndarray | None, m: float, final: bool, space: fcm.Spherical) -> list[np.ndarray]:
     """Weighted sums, weights, (objective, rows, largest change, squared memberships, proxy terms) and sizes of a lane on rows x."""
-    d2 = np.maximum(2 - 2 * x @ v.T, 0)
+    d2 = space.distances(x, v)
     u = fcm.memberships(d2, m)
     w = u**m
     stats, sizes = np.zeros(6), np.zeros(len(v))
     stats[0], stats[1] = (w * d2).sum(), len(x)
     if before is not None:
-        stats[2] = np.abs(u - fcm.memberships(np.maximum(2 - 2 * x @ before.T, 0), m)).max()
+        stats[2] = np.abs(u - fcm.memberships(space.distances(x, before), m)).max()
     if final:
         label = u.argmax(1)
         sizes = np.bincount(label, minlength=len(v)).astype(float)
@@ -126,10 +134,12 @@ def _add(old: list[np.ndarray] | None, new: list[np.ndarray]) -> list[np.ndarray
 def _advance(lane: Lane, terms: list[np.ndarray], start: np.ndarray, turn: int, tol: float) -> None:
     """New centers of a lane from the terms of a pass."""
     total, weight, stats, _ = terms
-    new = fcm.unit_rows(total.reshape(lane.k, -1))
-    empty = (weight <= 1e-12) | (np.abs(new).sum(1) == 0)
+    new = lane.space.centers(total.reshape(lane.k, -1), weight)
+    empty = weight <= 1e-12
+    if lane.geometry == "spherical":
+        empty |= np.abs(new).sum(1) == 0
     if empty.any():
-        new[empty] = plus_plus(start, int(empty.sum()), np.random.default_rng(lane.seed + turn + 1))
+        new[empty] = plus_plus(lane.space.prepare(start), int(empty.sum()), np.random.default_rng(lane.seed + turn + 1), lane.space)
     lane.iterations, lane.objective = turn + 1, stats[0] / max(stats[1], 1)
     stable = lane.previous is not None and stats[2] < tol
     lane.previous, lane.centers = lane.centers, new
@@ -146,18 +156,19 @@ def _finish(lane: Lane, terms: list[np.ndarray]) -> None:
 
 def _pass(docs: DataFrame, lanes: list[tuple[int, Lane]], final: bool) -> dict[int, list[np.ndarray]]:
     """The terms of every lane over all documents."""
-    sent = [(i, lane.node, lane.centers, lane.previous, lane.m) for i, lane in lanes]
+    sent = [(i, lane.node, lane.centers, lane.previous, lane.m, lane.geometry) for i, lane in lanes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            node, every = batch.column(0).to_numpy(), fcm.unit_rows(fcm.matrix(batch.column(1)))
-            for i, n, v, before, m in sent:
-                x = every[node == n]
+            node, raw = batch.column(0).to_numpy(), fcm.matrix(batch.column(1))
+            ready = {g: fcm.GEOMETRIES[g].prepare(raw) for g in {e[5] for e in sent}}
+            for i, n, v, before, m, g in sent:
+                x = ready[g][node == n]
                 if len(x):
-                    held[i] = _add(held.get(i), _terms(x, v, before, m, final))
+                    held[i] = _add(held.get(i), _terms(x, v, before, m, final, fcm.GEOMETRIES[g]))
         rows = [(i, *(a.ravel().tolist() for a in h)) for i, h in held.items()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["lane", "sums", "weight", "stats", "sizes"])
@@ -184,7 +195,7 @@ def _add_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _fit_small(docs: DataFrame, lanes: list[Lane], starts: dict[int, np.ndarray], max_iter: int, tol: float) -> None:
     """Fit each lane in a task of its own on a copy of all rows, which are bounded by LOCAL_CELLS: one job in all."""
     held = docs.select("node", "x").toArrow()
-    node, x = held.column(0).to_numpy(), fcm.unit_rows(fcm.matrix(held.column(1)))
+    node, x = held.column(0).to_numpy(), fcm.matrix(held.column(1))
     sent = docs.sparkSession.sparkContext.broadcast((node, x, starts, lanes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,13 +205,13 @@ def _fit_small(docs: DataFrame, lanes: list[Lane], starts: dict[int, np.ndarray]
         for batch in batches:
             for i in batch.column(0).to_pylist():
                 lane = lanes[i]
-                mine = x[node == lane.node]
+                mine = lane.space.prepare(x[node == lane.node])
                 for turn in range(max_iter):
                     if lane.done:
                         break
-                    _advance(lane, _terms(mine, lane.centers, lane.previous, lane.m, False), starts[lane.node], turn, tol)
+                    _advance(lane, _terms(mine, lane.centers, lane.previous, lane.m, False, lane.space), starts[lane.node], turn, tol)
                 if len(lane.centers) == lane.k:
-                    _finish(lane, _terms(mine, lane.centers, None, lane.m, True))
+                    _finish(lane, _terms(mine, lane.centers, None, lane.m, True, lane.space))
                 yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([pickle.dumps(lane)])], ["id", "lane"])
 
     import pickle
@@ -220,9 +231,9 @@ def fit_lanes(docs: DataFrame, lanes: list[Lane], max_iter: int = 60, tol: float
     for lane in lanes:
         x = starts.get(lane.node, np.zeros((0, 1)))
         if len(x) < lane.k:
-            lane.done, lane.centers = True, x[:1] if len(x) else np.zeros((1, 1))
+            lane.done, lane.centers = True, lane.space.prepare(x[:1]) if len(x) else np.zeros((1, 1))
         else:
-            lane.centers = plus_plus(x, lane.k, np.random.default_rng(lane.seed))
+            lane.centers = plus_plus(lane.space.prepare(x), lane.k, np.random.default_rng(lane.seed), lane.space)
     cells = docs.agg(F.sum(F.size("x"))).first()[0] or 0
     if cells <= local_cells:
         _fit_small(docs, lanes, starts, max_iter, tol)
@@ -270,17 +281,18 @@ def stability(docs: DataFrame, groups: list[list[Lane]]) -> list[float]:
 
     One pass for all groups: K x K counts for each pair of fits and partition reach the driver.
     """
-    sent = [(g, lanes[0].node, [x.centers for x in lanes]) for g, lanes in enumerate(groups) if len(lanes) > 1]
+    sent = [(g, lanes[0].node, [x.centers for x in lanes], lanes[0].geometry) for g, lanes in enumerate(groups) if len(lanes) > 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int, int], np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            node, every = batch.column(0).to_numpy(), fcm.unit_rows(fcm.matrix(batch.column(1)))
-            for g, n, centers in sent:
-                x = every[node == n]
-                labels = [(x @ v.T).argmax(1) for v in centers]
+            node, raw = batch.column(0).to_numpy(), fcm.matrix(batch.column(1))
+            ready = {name: fcm.GEOMETRIES[name].prepare(raw) for name in {e[3] for e in sent}}
+            for g, n, centers, name in sent:
+                x = ready[name][node == n]
+                labels = [fcm.GEOMETRIES[name].distances(x, v).argmin(1) for v in centers]
                 for i, a in enumerate(labels):
                     for j in range(i + 1, len(labels)):
                         found = np.bincount(a * len(centers[j]) + labels[j], minlength=len(centers[i]) * len(centers[j]))
@@ -299,71 +311,137 @@ def stability(docs: DataFrame, groups: list[list[Lane]]) -> list[float]:
     return [float(np.mean(x)) if x else 0.0 for x in out]
 
 
-def candidates(docs: DataFrame, ks: list[int], m: float = 1.2, n_init: int = 3, seed: int = 42, min_size: int = 2, max_iter: int = 60) -> tuple[DataFrame, dict[int, dict[int, Lane]]]:
-    """Candidate rows (node, k, xb, silhouette, stability, mpc, objective, valid) and the chosen fit of each node and K."""
-    nodes = [r["node"] for r in docs.select("node").distinct().collect()]
-    lanes = [Lane(int(n), k, seed + 1009 * k + 1009 * i, m) for n in nodes for k in ks for i in range(n_init)]
-    fit_lanes(docs, lanes, max_iter)
-    groups = {(n, k): [x for x in lanes if x.node == n and x.k == k and x.valid(min_size)] for n in nodes for k in ks}
-    agreed = dict(zip(groups, stability(docs, list(groups.values())), strict=True))
+@dataclass
+class Attempts:
+    """The fits made so far of one node, K and fuzzifier; attempt i starts from ``seed + 1009 i``."""
+
+    node: int
+    k: int
+    m: float
+    seed: int
+    geometry: str = "spherical"
+    lanes: list[Lane] = field(default_factory=list)
+    wanted: int = 0
+
+    def valid(self, min_size: int) -> list[Lane]:
+        return [x for x in self.lanes if x.valid(min_size)]
+
+    def hopeless(self) -> bool:
+        """Whether the node has fewer rows than centers."""
+        return any(len(x.centers) != x.k for x in self.lanes)
+
+
+def extend(docs: DataFrame, groups: list[Attempts], n_init: int, min_size: int, max_attempts: int | None = None, max_iter: int = 60, tol: float = 1e-4) -> None:
+    """Make attempts for every group until ``n_init`` of them are valid, ``max_attempts`` at most (three times as many).
+
+    A round makes as many attempts for each group as are still missing, so no more are made than one after the other would
+    take; all groups advance in the same passes.
+    """
+    most = 3 * n_init if max_attempts is None else max_attempts
+    if most < n_init:
+        raise ValueError("fewer attempts are allowed than are wanted")
+    while True:
+        new: list[Lane] = []
+        for g in groups:
+            g.wanted = n_init
+            missing = min(n_init - len(g.valid(min_size)), most - len(g.lanes))
+            if missing > 0 and not g.hopeless():
+                made = [Lane(g.node, g.k, g.seed + 1009 * (len(g.lanes) + i), g.m, geometry=g.geometry) for i in range(missing)]
+                g.lanes += made
+                new += made
+        if not new:
+            return
+        fit_lanes(docs, new, max_iter, tol)
+
+
+SCORES = "node long, k long, xb double, silhouette double, stability double, mpc double, objective double, valid boolean, valid_restarts long, attempts long"
+
+
+def scores(docs: DataFrame, groups: list[Attempts], min_size: int) -> tuple[DataFrame, dict[int, dict[int, Lane]]]:
+    """A candidate row of each group, and the chosen fit of each node and K.
+
+    A candidate is valid if an attempt is, and if all its scores are finite.
+    """
+    agreed = stability(docs, [g.valid(min_size) for g in groups])
     rows, chosen = [], {}
-    for n in nodes:
-        for k in ks:
-            mine = [x for x in lanes if x.node == n and x.k == k]
-            best = best_of(mine, min_size)
-            if best is None:
-                continue
-            chosen.setdefault(int(n), {})[k] = best
-            xb, mpc = best.objective / max(best.separation**2, 1e-12), (best.pc - 1 / k) / (1 - 1 / k) if k > 1 else 1.0
-            rows.append((int(n), k, *(float(v) for v in (xb, best.proxy, agreed[n, k], mpc, best.objective)), bool(groups[n, k])))
-    frame = docs.sparkSession.createDataFrame(rows, "node long, k long, xb double, silhouette double, stability double, mpc double, objective double, valid boolean")
-    return frame, chosen
+    for g, agreement in zip(groups, agreed, strict=True):
+        best = best_of(g.lanes, min_size)
+        if best is None:
+            continue
+        chosen.setdefault(g.node, {})[g.k] = best
+        xb, mpc = best.objective / max(best.separation**2, 1e-12), (best.pc - 1 / g.k) / (1 - 1 / g.k) if g.k > 1 else 1.0
+        row = [float(v) for v in (xb, best.proxy, agreement, mpc, best.objective)]
+        rows.append((g.node, g.k, *row, bool(g.valid(min_size)) and bool(np.isfinite(row).all()), len(g.valid(min_size)), len(g.lanes)))
+    return docs.sparkSession.createDataFrame(rows, SCORES), chosen
+
+
+def candidates(docs: DataFrame, ks: list[int], m: float = 1.2, n_init: int = 3, seed: int = 42, min_size: int = 2, max_iter: int = 60, tol: float = 1e-4, max_attempts: int | None = None, geometry: str = "spherical") -> tuple[DataFrame, dict[int, dict[int, Lane]]]:
+    """Candidate rows (``SCORES``) and the chosen fit of each node and K."""
+    nodes = [r["node"] for r in docs.select("node").distinct().collect()]  # nodes of the model
+    groups = [Attempts(int(n), k, m, seed + 1009 * k, geometry) for n in nodes for k in ks]
+    extend(docs, groups, n_init, min_size, max_attempts, max_iter, tol)
+    return scores(docs, groups, min_size)
+
+
+def _choose(live: DataFrame, method: str, patience: int, xb_gain: float) -> int | None:
+    """K by ``method`` among the valid candidates of one node; None without any."""
+    spark = live.sparkSession
+    rows = selection.multi_metric_score(selection.stop_after_worsening(live, patience)).withColumn("improvement", selection.xb_improvement()).collect()
+    if not rows:
+        return None
+    rows.sort(key=lambda r: r["k"])
+    if method == "silhouette":
+        return max(rows, key=lambda r: (r["silhouette"], -r["k"]))["k"]
+    if method == "xie_beni":
+        # the smallest K from which the index improves by less than the gain
+        best = min(rows, key=lambda r: (r["xb"], r["k"]))
+        for a, b in zip(rows, rows[1:], strict=False):
+            if b["improvement"] is not None and b["improvement"] < xb_gain and a["k"] < best["k"]:
+                return a["k"]
+        return best["k"]
+    if method == "knee":
+        return selection.objective_knee(spark.createDataFrame([(r["k"], r["objective"]) for r in rows], "k long, objective double")).first()["k"]
+    return max(rows, key=lambda r: (round(r["score"], 12), -r["xb"], r["stability"], r["silhouette"], -r["k"]))["k"]
 
 
 def select_k(docs: DataFrame, ks: list[int], method: str = "multi_metric", patience: int = 2, xb_gain: float = 0.05, **fit) -> tuple[dict[int, Lane], DataFrame]:
-    """The fit of the best K of each node, and all candidates with their scores. Nodes without a valid K are left out."""
+    """The fit of the best K of each node, and all candidates with their scores. Nodes without a valid K are left out.
+
+    ``geometry`` selects K in another geometry than the spherical one.
+    """
     frame, fits = candidates(docs, ks, **fit)
     held = {}
     for n in fits:
-        live = frame.where((F.col("node") == n) & F.col("valid"))
-        live = selection.multi_metric_score(selection.stop_after_worsening(live, patience)).withColumn("improvement", selection.xb_improvement()).collect()
-        if not live:
-            continue
-        live.sort(key=lambda r: r["k"])
-        if method == "silhouette":
-            best = max(live, key=lambda r: (r["silhouette"], -r["k"]))
-        elif method == "xie_beni":
-            # the smallest K from which the index improves by less than the gain
-            best = min(live, key=lambda r: (r["xb"], r["k"]))
-            for a, b in zip(live, live[1:], strict=False):
-                if b["improvement"] is not None and b["improvement"] < xb_gain and a["k"] < best["k"]:
-                    best = a
-                    break
-        elif method == "knee":
-            k = selection.objective_knee(docs.sparkSession.createDataFrame([(r["k"], r["objective"]) for r in live], "k long, objective double")).first()["k"]
-            best = next(r for r in live if r["k"] == k)
-        else:
-            best = max(live, key=lambda r: (round(r["score"], 12), -r["k"]))
-        held[n] = fits[n][best["k"]]
+        k = _choose(frame.where((F.col("node") == n) & F.col("valid")), method, patience, xb_gain)
+        if k is not None:
+            held[n] = fits[n][k]
     return held, frame
 
 
-def stable_fuzzifier(docs: DataFrame, ms: tuple = (1.2, 1.4, 1.6, 1.8, 2.0), n_init: int = 3, seed: int = 42, needed: float = 0.80, min_size: int = 2) -> float:
+#: Fixed value: fuzzifiers in the order in which they are tried.
+FUZZIFIERS = (1.2, 1.4, 1.6, 1.8, 2.0)
+
+
+def stable_fuzzifier(docs: DataFrame, ms: tuple = FUZZIFIERS, n_init: int = 3, seed: int = 42, needed: float = 0.80, min_size: int = 2, max_attempts: int | None = None) -> float:
     """The first m whose two-way fits are valid and agree; the last one otherwise."""
-    lanes = [Lane(0, 2, seed + 10007 * i + 1009 * j, m) for i, m in enumerate(ms) for j in range(n_init)]
     one = docs.withColumn("node", F.lit(0).cast("long"))
-    fit_lanes(one, lanes)
-    groups = [[x for x in lanes if x.m == m and x.valid(min_size)] for m in ms]
-    for m, good, agreed in zip(ms, groups, stability(one, groups), strict=True):
-        if len(good) >= n_init and agreed >= needed:
+    groups = [Attempts(0, 2, m, seed + 10007 * i) for i, m in enumerate(ms)]
+    extend(one, groups, n_init, min_size, max_attempts)
+    good = [g.valid(min_size) for g in groups]
+    for m, lanes, agreed in zip(ms, good, stability(one, good), strict=True):
+        if len(lanes) >= n_init and agreed >= needed:
             return m
     return ms[-1]
 
 
-def consensus_k(docs: DataFrame, ks: list[int], scouts: int = 5, needed: int = 3, ratio: float = 0.2, **fit) -> tuple[int | None, dict[int, int]]:
-    """K by strict majority of scouts on samples (each a node of the same passes), and the votes."""
-    n = docs.count()
-    size = max(1, int(np.ceil(n * ratio)))
+def consensus_k(docs: DataFrame, ks: list[int], scouts: int = 5, needed: int = 3, ratio: float = 0.2, size: int | None = None, **fit) -> tuple[int | None, dict[int, int]]:
+    """K by strict majority of scouts on samples (each a node of the same passes), and the votes.
+
+    At most one K can reach a strict majority, so that stopping early would not change it; all scouts vote at once.
+    """
+    if 2 * needed <= scouts:
+        raise ValueError("a strict majority of the scouts is needed")
+    size = size or max(1, int(np.ceil(docs.count() * ratio)))
     from ..sources import exact_sample
 
     parts = [exact_sample(docs.select("id", "x"), size, 42 + s).withColumn("node", F.lit(s).cast("long")) for s in range(scouts)]
@@ -378,16 +456,95 @@ def consensus_k(docs: DataFrame, ks: list[int], scouts: int = 5, needed: int = 3
     return (best[0] if best else None), votes
 
 
-def fast_k(docs: DataFrame, ks: list[int], sample: int = 300, top_k: int = 2, margin: float = 0.15, **fit) -> dict[int, Lane]:
-    """Scout all K on a sample, then fit the few best on all rows and choose among those."""
+def consensus_fit(docs: DataFrame, ks: list[int], scouts: int = 5, needed: int = 3, ratio: float = 0.2, min_size: int = 2, **fit) -> tuple[Lane | None, dict[int, int], str]:
+    """The fit on all rows at the K that the scouts agree on, the votes, and how K was found.
+
+    A sample has at least ``min_size`` rows for each of the fewest clusters, and the least size of its clusters shrinks with
+    it. Without a majority, or where its K has no valid fit on all rows, K is selected on all rows (``fallback``); so it is
+    where a sample would be the whole table (``direct``).
+    """
+    docs = docs.select("id", "x").withColumn("node", F.lit(0).cast("long"))
+    n = docs.count()
+    size = min(n, max(min(ks) * min_size, int(np.ceil(n * ratio))))
+    if size >= n:
+        return select_k(docs, ks, min_size=min_size, **fit)[0].get(0), {}, "direct"
+    k, votes = consensus_k(docs, ks, scouts, needed, ratio, size, min_size=max(2, int(np.ceil(min_size * size / n))), **fit)
+    if k is not None:
+        held = select_k(docs, [k], min_size=min_size, **fit)[0]
+        if 0 in held:
+            return held[0], votes, "consensus"
+    return select_k(docs, ks, min_size=min_size, **fit)[0].get(0), votes, "fallback"
+
+
+@dataclass(frozen=True)
+class FastPlan:
+    """Bounds of the scout and of the refinement. The sample is the method's own, of a documented size."""
+
+    sample: int = 1000
+    scout_init: int = 2
+    scout_attempts: int = 3
+    scout_most: int = 8
+    top_k: int = 2
+    margin: float = 0.15
+    refine_init: int = 3
+    refine_attempts: int = 5
+    refine_most: int = 10
+    probe_stability: float = 0.80
+    stability: float = 0.85
+    ms: tuple = FUZZIFIERS
+
+    def __post_init__(self) -> None:
+        if self.sample < 2 or not 1 <= self.scout_init <= self.scout_attempts or not 1 <= self.refine_init <= min(self.refine_attempts, self.refine_most):
+            raise ValueError("sizes and attempts of the fast selection are out of range")
+        if not self.ms or min(self.ms) <= 1 or self.top_k < 1 or self.scout_most < 2 or not 0 <= self.margin <= 1:
+            raise ValueError("limits of the fast selection are out of range")
+
+
+def fast_k(docs: DataFrame, ks: list[int], plan: FastPlan = FastPlan(), m: float | None = None, method: str = "multi_metric", min_size: int = 2, seed: int = 42, max_iter: int = 100, tol: float = 1e-5) -> tuple[Lane | None, DataFrame]:
+    """The fit of the best K, found on a sample and refined on all rows, and the candidates of the last step.
+
+    The fuzzifier is ``m``, unless its scouts disagree, or else the first one of the plan with a stable two-way probe. The
+    best few K of the scouts are fitted on all rows, with twice as many restarts until they agree; where no K has a valid
+    fit, the next fuzzifier of the plan is taken.
+    """
     from ..sources import exact_sample
 
-    node = F.lit(0).cast("long")
-    frame, _ = candidates(exact_sample(docs.select("id", "x"), sample, 97).withColumn("node", node), ks, **fit)
-    scored = selection.multi_metric_score(frame.where("valid"))
-    best = [r["k"] for r in selection.scout_top(scored, top_k, margin).orderBy("rank").collect()] or ks[:1]
-    held, _ = select_k(docs.select("id", "x").withColumn("node", node), best, **fit)
-    return held
+    one = docs.select("id", "x").withColumn("node", F.lit(0).cast("long"))
+    few = exact_sample(one, plan.sample, seed).persist()
+    probe = lambda: stable_fuzzifier(few, plan.ms, plan.scout_init, seed, plan.probe_stability, min_size, plan.scout_attempts)
+    scouted = sorted(k for k in ks if k <= plan.scout_most) or [min(ks)]
+
+    def scout(m: float) -> tuple[int | None, DataFrame]:
+        frame, _ = candidates(few, scouted, m, plan.scout_init, seed + 97, min_size, max_attempts=plan.scout_attempts)
+        live = frame.where("valid")
+        return _choose(live, method, len(scouted), 0.05), live
+
+    used = probe() if m is None else m
+    best, live = scout(used)
+    if m is not None and (best is None or live.where(F.col("k") == best).first()["stability"] < plan.probe_stability):
+        used = probe()
+        best, live = scout(used)
+    few.unpersist()
+    if best is None:
+        return None, live
+    picked = [r["k"] for r in selection.scout_top(selection.multi_metric_score(live), plan.top_k, plan.margin).orderBy("rank").collect()] or [best]
+    nearest = min(range(len(plan.ms)), key=lambda i: abs(plan.ms[i] - used))
+    one = one.persist()
+    for turn, trial in enumerate([used, *plan.ms[nearest + 1 :]]):
+        groups = [Attempts(0, k, trial, seed + 1003 + 101_003 * turn + 11_009 * i) for i, k in enumerate(picked)]
+        restarts, open_ = plan.refine_init, groups
+        while open_:
+            extend(one, open_, restarts, min_size, max(plan.refine_attempts, restarts), max_iter, tol)
+            agreed = stability(one, [g.valid(min_size) for g in open_])
+            open_ = [g for g, a in zip(open_, agreed, strict=True) if g.valid(min_size) and a < plan.stability and restarts < plan.refine_most]
+            restarts = min(plan.refine_most, 2 * restarts)
+        frame, fits = scores(one, groups, min_size)
+        k = _choose(frame.where("valid"), method, len(picked), 0.05)
+        if k is not None:
+            one.unpersist()
+            return fits[0][k], frame
+    one.unpersist()
+    return None, live
 
 
 @dataclass

@@ -42,14 +42,29 @@ def select_k_exhaustive(spark, sf_dir):
 
 @_query
 def select_k_fast(spark, sf_dir):
-    held = training.fast_k(_docs(spark, sf_dir), KS, n_init=2)
-    return spark.createDataFrame([(n, x.k, float(x.objective)) for n, x in held.items()] or [(-1, -1, 0.0)], "node long, k long, objective double")
+    """K by scouts on a sample, refined on all rows."""
+    best, frame = training.fast_k(_docs(spark, sf_dir), KS)
+    k, m = (best.k, best.m) if best else (-1, 0.0)
+    return frame.select("k", "xb", "stability", "objective", "valid_restarts", "attempts").withColumn("selected", F.col("k") == k).withColumn("m", F.lit(m))
 
 
 @_query
 def select_k_consensus(spark, sf_dir):
-    k, votes = training.consensus_k(_docs(spark, sf_dir), KS, n_init=2, max_iter=30)
-    return spark.createDataFrame([(a, b, a == k) for a, b in votes.items()] or [(-1, 0, False)], "k long, votes long, selected boolean")
+    """The votes of the scouts, and the K of the fit on all rows."""
+    best, votes, how = training.consensus_fit(_docs(spark, sf_dir), KS, n_init=2, max_iter=30)
+    k = best.k if best else -1
+    return spark.createDataFrame([(a, votes.get(a, 0), a == k, how) for a in sorted({*votes, k})], "k long, votes long, selected boolean, how string")
+
+
+@_query
+def select_k_geometry(spark, sf_dir):
+    """K in two other geometries."""
+    parts = []
+    for name in ("euclidean", "cosine_raw"):
+        held, frame = training.select_k(_docs(spark, sf_dir), KS, n_init=2, max_iter=30, geometry=name)
+        chosen = held[0].k if 0 in held else -1
+        parts.append(frame.withColumn("geometry", F.lit(name)).withColumn("selected", F.col("k") == chosen))
+    return parts[0].unionByName(parts[1])
 
 
 @_query
