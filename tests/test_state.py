@@ -104,3 +104,56 @@ def test_daily_noise_stream(spark, tmp_path):
     stream = daily_noise(spark.readStream.schema("ts timestamp, event_type string").parquet(f"{tmp_path}/events"))
     stream.writeStream.format("memory").queryName("days").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert sorted((r["noise"], r["n"]) for r in spark.table("days").collect()) == [(1.0, 2), (1.0, 2), (2.0, 4)]
+
+
+def sides(spark, n=60, seed=4):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(0, 0.1, (n, 4))
+    x[: n // 2, 0] += 3
+    x[n // 2 :, 1] += 3
+    x = fcm.unit_rows(x)
+    return x, spark.createDataFrame([(i, i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, pos long, x array<double>")
+
+
+def test_stored_sums_are_those_of_all_rows(spark, tmp_path):
+    x, df = sides(spark)
+    state = State(spark, f"file://{tmp_path}/state", refresh_every=2, policy=inc.DriftPolicy(enter=1.0))
+    state.fit(df.where("id < 50 and id >= 5"), fcm.unit_rows(x[[6, 40]]))
+    moved = spark.createDataFrame([(i, [float(v) for v in x[59 - i]]) for i in range(10)], "id long, x array<double>")
+    for k, batch in enumerate((df.where("id >= 45").select("id", "x"), moved, df.where("id < 5").select("id", "x"))):
+        done = state.update(batch, f"b{k}")
+        assert done.replaced + done.appended == done.rows and done.clusters == 2
+        held = state.manifest()
+        again = inc.statistics(inc.contributions(state.rows(), state.m))
+        a, b = ({(r["k"], r["dim"]): (r["value"], r["weight"]) for r in s.collect()} for s in (again, state._open(held["sums"])))
+        assert a.keys() == b.keys() and all(np.allclose(a[key], b[key], atol=1e-9) for key in a)
+        assert np.allclose(state._centers(again, np.array(held["centers"])), held["centers"])
+    assert state.rows().count() == 60 and state._generations() == [2, 3]
+    assert state._read(2)["thresholds"] != [1.3, 1.3]
+
+
+def test_worse_index_asks_for_new_centers(spark, tmp_path):
+    x, df = sides(spark)
+    state = State(spark, f"file://{tmp_path}/state", refresh_every=1, policy=inc.DriftPolicy(enter=1.0, cooldown=2), ks=[2, 3])
+    state.fit(df)
+    assert len(state.manifest()["centers"]) == 2
+    third = spark.createDataFrame([(100 + i, [0.0, 0.0, 1.0, 0.02 * (i % 5)]) for i in range(30)], "id long, x array<double>")
+    first = state.update(third, "third")
+    assert first.xb_degraded and first.recluster and first.clusters == 3 and state.manifest()["cool"] == 2
+    blur = spark.createDataFrame([(200 + i, [1.0, 1.0, 1.0, 0.0]) for i in range(60)], "id long, x array<double>")
+    second = state.update(blur, "blur")
+    assert second.xb_degraded and second.suppressed and not second.recluster
+
+
+def test_manifest_is_checked(spark, tmp_path):
+    x, df = sides(spark)
+    state = State(spark, f"file://{tmp_path}/state")
+    state.fit(df, fcm.unit_rows(x[[0, 40]]))
+    with pytest.raises(RuntimeError, match="another process"):
+        state.fit(df, fcm.unit_rows(x[[0, 40]]))
+    file = next((tmp_path / "state/manifests/gen=0").glob("part-*"))
+    file.write_text(file.read_text().replace('"updates": 0', '"updates": 5'))
+    for crc in (tmp_path / "state/manifests/gen=0").glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(ValueError, match="checksum"):
+        state.manifest()

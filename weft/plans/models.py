@@ -90,20 +90,27 @@ def auto_pca_width(spark, sf_dir):
     return curve.withColumn("selected", F.col("dim") == width)
 
 
-@_query
-def incremental_update(spark, sf_dir):
-    """A start from most embeddings, a batch that replaces and appends, and its replay."""
+def _updated(spark, sf_dir):
+    """A state fitted without a tenth of the rows and updated with them and with rows that changed, twice."""
     import uuid
 
+    from ..operators import incremental as inc
     from ..streaming import State
 
     docs = T.embeddings(spark, sf_dir)
-    _, centers = fcm.label_centers(docs)
+    split = inc.held_out_split(docs, 0.2)
+    initial, batch = split.where("operation = 'initial'"), split.where("operation <> 'initial'").select("id", "x")
+    _, centers = fcm.label_centers(initial)
     state = State(spark, f"{scratch_dir(spark)}/weft-state-{uuid.uuid4().hex}")
-    state.fit(docs.where("id < 450").select("id", "x", F.col("id").alias("pos")), centers)
-    batch = docs.where("id >= 440").select("id", "x")
-    done = [state.update(batch, "b1"), state.update(batch, "b1")]
-    return spark.createDataFrame([(u.batch_id, u.generation, u.replay, u.rows, u.movement) for u in done], "batch string, generation long, replay boolean, rows long, movement double")
+    state.fit(initial.select("id", "x", F.col("id").alias("pos")), centers)
+    return state, [state.update(batch, "b1"), state.update(batch, "b1")]
+
+
+@_query
+def incremental_update(spark, sf_dir):
+    """What an update did, and its replay."""
+    _, done = _updated(spark, sf_dir)
+    return spark.createDataFrame([(u.batch_id, u.generation, u.replay, u.rows, u.replaced, u.appended, u.movement) for u in done], "batch string, generation long, replay boolean, rows long, replaced long, appended long, movement double")
 
 
 @_query
