@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import vectors as V
+from ..session import materialize
 from . import ranks
 from .fcm import matrix
 
@@ -160,7 +161,7 @@ def refreshed_thresholds(scored: DataFrame, old: DataFrame, z: float = 3.5) -> D
     A cluster of fewer than 4 documents keeps its threshold; one without spread has none (infinite).
     """
     keyed = scored.select(F.struct("path", "k").alias("c"), F.col("distance").alias("d"))
-    middle = ranks.medians(keyed, "d", "c")
+    middle = materialize(ranks.medians(keyed, "d", "c"))  # used twice, one row for each cluster
     far = keyed.join(middle.drop("n"), "c").select("c", F.abs(F.col("d") - F.col("median")).alias("far"))
     both = middle.join(ranks.medians(far, "far", "c", "mad").drop("n"), "c").select("c.path", "c.k", "n", "median", "mad")
     new = F.when(F.col("mad") <= 1e-12, F.lit(float("inf"))).otherwise(F.col("median") + z * 1.4826 * F.col("mad"))

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import vectors as V
+from ..session import materialize
 from . import ranks
 
 
@@ -135,7 +136,7 @@ def average_rank(x: str) -> Column:
 def robust_thresholds(df: DataFrame, cluster: str, distance: str, z: float = 3.0) -> DataFrame:
     """median + z * 1.4826 * MAD of each cluster's distances; infinite below 4 rows or without spread."""
     held = df.select(cluster, F.col(distance).alias("__d"))
-    middle = ranks.medians(held, "__d", cluster)
+    middle = materialize(ranks.medians(held, "__d", cluster))  # used twice, one row for each cluster
     far = held.join(middle.drop("n"), cluster).select(cluster, F.abs(F.col("__d") - F.col("median")).alias("__far"))
     spread = middle.join(ranks.medians(far, "__far", cluster, "mad").drop("n"), cluster)
     return spread.select(cluster, "n", "median", "mad", F.when((F.col("n") < 4) | (F.col("mad") <= 1e-12), F.lit(float("inf"))).otherwise(F.col("median") + z * 1.4826 * F.col("mad")).alias("threshold"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import vectors as V
-from ..operators import classify, fcm, metrics, neighbors
+from ..operators import classify, extract, fcm, metrics, neighbors
 from . import tables as T
 
 QUERIES: dict = {}
@@ -291,3 +291,24 @@ def knn_topk(spark, sf_dir):
 def knn_preservation(spark, sf_dir):
     x = T.embeddings(spark, sf_dir)
     return neighbors.preservation(neighbors.knn(x, x, 10), neighbors.knn(x, x, 10, dims=16), 10).select(F.round("preservation", 6).alias("preservation"))
+
+
+_EXTRACTED = SCORED + _EXTERNAL + """,
+g AS (SELECT label, count(DISTINCT cluster) AS k FROM a GROUP BY label),
+k AS (SELECT count(DISTINCT k)::DOUBLE AS k FROM u),
+q AS (SELECT avg(pc) AS pc, avg(pe) AS pe FROM (SELECT id, sum(u * u) AS pc, -sum(u * ln(greatest(u, 1e-12))) AS pe FROM u GROUP BY id)),
+s0 AS (SELECT u.k, f.dim, sum(u.u * u.u * f.v) AS v FROM u JOIN f USING (id) GROUP BY ALL), s1 AS (SELECT k, sqrt(sum(v * v)) AS s FROM s0 GROUP BY k), sc AS (SELECT s0.k, list(v / s ORDER BY dim) AS c FROM s0 JOIN s1 USING (k) GROUP BY s0.k),
+sd AS (SELECT u.id, u.u, greatest(2 - 2 * list_dot_product(n.x, sc.c), 0) AS d2 FROM u JOIN n USING (id) JOIN sc USING (k)),
+sp AS (SELECT min(2 - 2 * list_dot_product(x.c, y.c)) AS s FROM sc x JOIN sc y ON x.k <> y.k),
+sf AS (SELECT id, sum(u * u * sqrt(d2)) / sum(u * u) AS a, sort(list(sqrt(d2)))[2] AS b FROM sd GROUP BY id)"""
+
+
+@_query("extract_metrics", _EXTRACTED + """ SELECT (SELECT count(*) FROM n) AS samples, (SELECT count(DISTINCT cluster) FROM a) AS clusters, round(ari, 6) AS ari, round(nmi, 6) AS nmi, round((SELECT avg(k) FROM g), 6) AS tag_fragmentation,
+round(pc, 6) AS partition_coefficient, round((pc - 1 / k.k) / (1 - 1 / k.k), 6) AS modified_partition_coefficient, round(pe / ln(k.k), 6) AS normalized_partition_entropy,
+round((SELECT sum(u * u * d2) FROM sd) / (SELECT count(*) FROM n) / (SELECT s FROM sp), 6) AS xie_beni, round((SELECT avg((b - a) / greatest(a, b)) FROM sf), 6) AS fuzzy_silhouette FROM o, q, k""")
+def extract_metrics(spark, sf_dir):
+    """Metrics of assignments, with centers from the squared memberships."""
+    s, _, _ = scored(spark, sf_dir)
+    out = extract.extract_metrics(s.select("id", "cluster", F.col("label").cast("string").alias("class"), "u", "x"))
+    values = ("ari", "nmi", "tag_fragmentation", "partition_coefficient", "modified_partition_coefficient", "normalized_partition_entropy", "xie_beni", "fuzzy_silhouette")
+    return out.select("samples", "clusters", *[F.round(c, 6).alias(c) for c in values])

@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import density, fcm, pca, training
-from ..session import scratch_dir
+from ..operators import density, fcm, flows, pca, training
+from ..session import materialize, scratch_dir
 from . import tables as T
 
 QUERIES: dict = {}
@@ -98,7 +98,7 @@ def _updated(spark, sf_dir):
     from ..streaming import State
 
     docs = T.embeddings(spark, sf_dir)
-    split = inc.held_out_split(docs, 0.2)
+    split = materialize(inc.held_out_split(docs, 0.2))
     initial, batch = split.where("operation = 'initial'"), split.where("operation <> 'initial'").select("id", "x")
     _, centers = fcm.label_centers(initial)
     state = State(spark, f"{scratch_dir(spark)}/weft-state-{uuid.uuid4().hex}")
@@ -113,6 +113,22 @@ def incremental_update(spark, sf_dir):
     return spark.createDataFrame([(u.batch_id, u.generation, u.replay, u.rows, u.replaced, u.appended, u.movement) for u in done], "batch string, generation long, replay boolean, rows long, replaced long, appended long, movement double")
 
 
+@_query
+def flat_fit(spark, sf_dir):
+    """Projection, fuzzifier and K in one call: the size of each cluster."""
+    docs = T.embeddings(spark, sf_dir)
+    fit = flows.flat_fit(docs, KS, width=16, n_init=2, max_iter=30)
+    return fit.assign(docs).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumn("m", F.lit(fit.lane.m)).withColumn("how", F.lit(fit.how))
+
+
+@_query
+def flat_pipelines(spark, sf_dir):
+    """Metrics of the flat pipelines, and which is best."""
+    docs = T.embeddings(spark, sf_dir).withColumn("class", F.col("label").cast("string"))
+    found, best = flows.run_pipelines(docs, 5, n_init=3, widths=(32,))
+    return found.select("pipeline", "pca_components", "nmi", "ari", "silhouette", "xie_beni").withColumn("best", F.col("pipeline") == best)
+
+
 @_query
 def online_refine(spark, sf_dir):
     """Centers of a sample, refined by one pass of batches over the other rows."""

@@ -172,7 +172,8 @@ class State:
         old = self.manifest()
         if old is None:
             raise ValueError("fit the state before it is updated")
-        print_ = fingerprint(batch.select("id", "x"))
+        batch = batch.select("id", "x").persist()
+        print_ = fingerprint(batch)
         name = (batch_id or f"auto:{print_}").strip()
         if not 0 < len(name) <= 512:
             raise ValueError("a batch id has 1 to 512 characters")
@@ -235,8 +236,8 @@ class State:
         self._save({"generation": gen, "batches": history, "noise": noise, "n": n, "ewma": ewma, "alarm": bool(alarm), "cool": p.cooldown if recluster else max(0, old["cool"] - 1), "updates": updates, **part})
         for name in gone:
             self._delete(name)
-        scored.unpersist()
-        replaced.unpersist()
+        for df in (batch, scored, replaced):
+            df.unpersist()
         return summary
 
     def start(self, stream: DataFrame, checkpoint: str, available_now: bool = True):
