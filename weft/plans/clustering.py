@@ -300,7 +300,7 @@ q AS (SELECT avg(pc) AS pc, avg(pe) AS pe FROM (SELECT id, sum(u * u) AS pc, -su
 s0 AS (SELECT u.k, f.dim, sum(u.u * u.u * f.v) AS v FROM u JOIN f USING (id) GROUP BY ALL), s1 AS (SELECT k, sqrt(sum(v * v)) AS s FROM s0 GROUP BY k), sc AS (SELECT s0.k, list(v / s ORDER BY dim) AS c FROM s0 JOIN s1 USING (k) GROUP BY s0.k),
 sd AS (SELECT u.id, u.u, greatest(2 - 2 * list_dot_product(n.x, sc.c), 0) AS d2 FROM u JOIN n USING (id) JOIN sc USING (k)),
 sp AS (SELECT min(2 - 2 * list_dot_product(x.c, y.c)) AS s FROM sc x JOIN sc y ON x.k <> y.k),
-sf AS (SELECT id, sum(u * u * sqrt(d2)) / sum(u * u) AS a, sort(list(sqrt(d2)))[2] AS b FROM sd GROUP BY id)"""
+sf AS (SELECT id, sum(u * u * sqrt(d2)) / sum(u * u) AS a, (list(sqrt(d2) ORDER BY d2))[2] AS b FROM sd GROUP BY id)"""
 
 
 @_query("extract_metrics", _EXTRACTED + """ SELECT (SELECT count(*) FROM n) AS samples, (SELECT count(DISTINCT cluster) FROM a) AS clusters, round(ari, 6) AS ari, round(nmi, 6) AS nmi, round((SELECT avg(k) FROM g), 6) AS tag_fragmentation,
