@@ -42,3 +42,26 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 7
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def many_embeddings(folder, rows=3000, labels=3):
+    """A table of embeddings with about 900 live rows in each cluster, some of them copies of others; its own DuckDB session."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    x = np.random.default_rng(7).normal(size=(rows, 8)).astype(np.float32)
+    x[1::50] = x[2::50]
+    table = pa.table({"vec_id": pa.array(np.arange(rows)), "embedding": pa.array([v.tolist() for v in x], pa.list_(pa.float32())), "label": pa.array((np.arange(rows) // 7 % labels).astype(np.int32))})
+    pq.write_table(table, f"{folder}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{folder}/embeddings.parquet'")
+    return con
+
+
+def test_medoids_of_clusters_beyond_any_sample(spark, tmp_path):
+    con = many_embeddings(tmp_path)
+    mine = sorted(tuple(r) for r in catalog().QUERIES["medoids_radii"](spark, str(tmp_path)).select("cluster", "medoid", "radius").collect())
+    theirs = sorted(con.execute(f"select cluster, medoid, radius from ({catalog().ORACLES['medoids_radii']})").fetchall())
+    assert len(mine) == 3 and [r[:2] for r in mine] == [r[:2] for r in theirs]
+    assert all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(mine, theirs, strict=True))

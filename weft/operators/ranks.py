@@ -1,8 +1,8 @@
-"""Ranks, percentile ranks and medians over any number of rows: no window holds a whole table or a whole group.
+"""Ranks, percentile ranks, medians and quantiles over any number of rows: no window holds a whole table or a whole group.
 
 Rows are first counted by distinct value, so that ties meet as one row. The counts are dealt by range; totals run within
 each range and start from the sum of the ranges before it, of which there are as many as shuffle partitions. NaN sorts
-last, as Spark sorts it; null values are left out by ``median`` and rank first otherwise.
+last, as Spark sorts it; null values are left out by ``medians`` and ``quantiles`` and rank first otherwise.
 """
 
 from __future__ import annotations
@@ -40,3 +40,14 @@ def medians(df: DataFrame, x: str, by: str, name: str = "median") -> DataFrame:
     at = lambda place: F.min(F.when(F.col("upto") >= place, F.col(x)))
     both = upto.join(size, by).groupBy(by)
     return both.agg(((at(F.floor((F.col("__size") + 1) / 2)) + at(F.ceil((F.col("__size") + 1) / 2))) / 2).alias(name), F.sum("n").alias("n"))
+
+
+def quantiles(df: DataFrame, x: str, by: str, q: float, name: str = "quantile") -> DataFrame:
+    """(by, name): the exact ``q`` quantile of each ``by``, interpolated between its two neighbours."""
+    counts = df.where(F.col(x).isNotNull()).groupBy(by, x).agg(F.count(F.lit(1)).alias("n"))
+    upto = running_counts(counts, [F.col(x)], (by,))
+    size = counts.groupBy(by).agg(F.sum("n").alias("__size"))
+    place = (F.col("__size") - 1) * q
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col(x)))
+    ends = upto.join(size, by).groupBy(by).agg(at(F.floor(place)).alias("__low"), at(F.ceil(place)).alias("__high"), F.max(place - F.floor(place)).alias("__part"))
+    return ends.select(by, (F.col("__low") + (F.col("__high") - F.col("__low")) * F.col("__part")).alias(name))

@@ -2,30 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import vectors as V
+from ..session import materialize
+from . import ranks
+from .fcm import group_sums
 
 
-def medoids(df: DataFrame, candidates: int = 256, evaluations: int = 1024, cluster: str = "cluster") -> DataFrame:
-    """(cluster, medoid, center, radius) by cosine distance, from evenly spaced candidates and evaluation rows.
+def medoids(df: DataFrame, cluster: str = "cluster") -> DataFrame:
+    """(cluster, medoid, center, radius) by cosine distance over all members: the one nearest to all others in the mean,
+    the smaller id on ties at 12 digits, and the exact 90th percentile of the distances to it.
 
-    Both sets are bounded for each cluster, so the pairs are, too; the radius is the exact 90th percentile over all members.
+    The mean distance of a unit vector to all members is 1 - its product with their mean, so no pair is made.
     """
     live = df.where(F.col(cluster) >= 0)
-    sizes = live.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))
-    ranked = live.join(F.broadcast(sizes), cluster).withColumn("i", F.row_number().over(Window.partitionBy(cluster).orderBy("id")) - 1)
-
-    def spaced(k: int) -> Column:
-        take = F.least(F.col("n"), F.lit(k))
-        return F.floor((F.col("i") + 1) * take / F.col("n")) > F.floor(F.col("i") * take / F.col("n"))
-
-    one = ranked.where(spaced(candidates)).select(cluster, "id", "x")
-    other = ranked.where(spaced(evaluations)).select(cluster, F.col("x").alias("y"))
-    means = one.join(other, cluster).groupBy(cluster, "id").agg(F.round(F.avg(V.cosine_distance("x", "y")), 12).alias("mean"), F.first("x").alias("x"))
-    best = means.groupBy(cluster).agg(F.min_by(F.struct("id", "x"), F.struct("mean", "id")).alias("m")).select(cluster, F.col("m.id").alias("medoid"), F.col("m.x").alias("center"))
-    radius = live.join(F.broadcast(best), cluster).groupBy(cluster).agg(F.greatest(F.percentile(V.cosine_distance("x", "center"), 0.9), F.lit(1e-12)).alias("radius"))
-    return best.join(radius, cluster)
+    means = [(k, [float(v) for v in total / n]) for k, (n, total) in group_sums(live, cluster, unit=False).items()]
+    middle = df.sparkSession.createDataFrame(means, f"{cluster} long, middle array<double>")
+    far = live.join(F.broadcast(middle), cluster).select(cluster, "id", "x", F.round(1 - V.dot("x", "middle"), 12).alias("mean"))
+    best = far.groupBy(cluster).agg(F.min_by(F.struct("id", "x"), F.struct("mean", "id")).alias("m")).select(cluster, F.col("m.id").alias("medoid"), F.col("m.x").alias("center"))
+    best = materialize(best)  # used twice, one row for each cluster
+    radius = ranks.quantiles(live.join(F.broadcast(best), cluster).select(cluster, V.cosine_distance("x", "center").alias("d")), "d", cluster, 0.9, "radius")
+    return best.join(radius, cluster).withColumn("radius", F.greatest("radius", F.lit(1e-12)))
 
 
 def soft_reassignment(noise: DataFrame, centers: DataFrame, threshold: float = 0.60) -> DataFrame:
