@@ -577,6 +577,39 @@ def test_planted_passages(spark, group):
     assert sum(r["n_passage_words"] > 0 for r in got) > 200
 
 
+def shared_surroundings(rng, pairs=8):
+    """Documents that hold a passage twice, once with the same surroundings as another document and once with their own."""
+    some = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    texts = []
+    for _ in range(pairs):
+        passage = some(60)
+        first = [*some(60), *passage, *some(60)]
+        texts += [" ".join([*first, *some(200), *passage, *some(60)]), " ".join(first)]
+    return texts
+
+
+@pytest.mark.parametrize("group", [dedup_substrings.GROUP, 1])
+def test_a_passage_beside_a_class_of_its_own_document(spark, group):
+    texts = list(enumerate(shared_surroundings(random.Random(3))))
+    got = dedup_substrings.dedup_substrings(spark.createDataFrame(texts, "doc_id long, text string"), group=group).collect()
+    assert sorted((r["doc_id"], r["n_passage_words"]) for r in got) == list(enumerate(brute_passages(texts)))
+
+
+def test_hot_passages_are_not_opened_window_by_window(spark, monkeypatch):
+    """A passage in 60 documents, each with surroundings of its own: blocks, and the few that lie across its ends."""
+    rng = random.Random(4)
+    some = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    passage = some(80)
+    texts = [(k, " ".join([*some(90), *passage, *some(90)])) for k in range(60)]
+    made, real = [], dedup_substrings.materialize
+    monkeypatch.setattr(dedup_substrings, "materialize", lambda df: (out := real(df), made.append((out.columns, out)))[0])
+    got = dedup_substrings.dedup_substrings(spark.createDataFrame(texts, "doc_id long, text string"), group=4).collect()
+    assert sorted((r["doc_id"], r["n_passage_words"]) for r in got) == list(enumerate(brute_passages(texts)))
+    blocks = max(df.count() for columns, df in made if "names" in columns)
+    windows = max(df.count() for columns, df in made if "name" in columns and "lone" in columns)
+    assert 60 <= blocks and windows < 60 * 8 * 3 and blocks + windows < 60 * 44
+
+
 @pytest.mark.parametrize("longest", [31, 5000])
 @pytest.mark.parametrize("seed", range(3))
 def test_suffix_sort(seed, longest):

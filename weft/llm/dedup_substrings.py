@@ -16,8 +16,8 @@ same place. Windows of one document with a common anchor form a segment; one row
    window's, by 128-bit digests throughout. It is the order of comparisons of step 3, with Spark's shuffle for the sort.
 
 Beside the strings of LENGTH bytes, passages of more than 50 words that another document holds too (words between white
-space, whatever their bytes) are found by the same steps 1, 2 and 4 with windows of PASSAGE words, and counted: their
-strings may be shorter than LENGTH, so nothing is removed for them.
+space, whatever their bytes) are found by the same steps 1, 2 and 4 with windows of PASSAGE words, in blocks of PART, and
+counted: their strings may be shorter than LENGTH, so nothing is removed for them.
 
 The spans of each document are united and cut. Null and empty texts and those below LENGTH bytes lose nothing. Repeated
 rows repeat each other. Texts are handled whole, in pieces with overlap if they are very long. Empty tables give an empty
@@ -39,6 +39,8 @@ from . import substrings, tokens as tk
 from .suffix_sort import SuffixSorter
 
 LENGTH, BLOCK, GROUP, PASSAGE = 400, 32, 1000, 51
+#: Windows of words in a block; a segment has at most 44, of which few blocks lie across an end of what it shares.
+PART = 4
 #: Bytes of segments that are sorted together.
 SORT_BYTES = 256 << 10
 
@@ -46,7 +48,7 @@ _ANCHOR = "gram long, segment long, check long, key long, size long, first long,
 _PIECE = "gram long, key long, size long, first long, word long, windows int, place int, lone boolean, words boolean, large boolean, piece binary"
 _SPAN = "key long, size long, start long, stop long, words boolean"
 _CELL = "core long, core_check long, whole long, whole_check long, key long, size long, start long, windows int, lone boolean, before binary, after binary"
-_PASSAGE = "name long, key long, size long, start long, lone boolean"
+_PASSAGE = "core long, whole long, key long, size long, start long, lone boolean, names array<long>"
 _WINDOW = "core long, core_check long, window long, window_check long, lone boolean, key long, size long, start long, stop long"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long"
 
@@ -135,13 +137,16 @@ def _bytes_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _passage_windows(data: np.ndarray, offsets: np.ndarray, windows: np.ndarray, gram: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Piece, place in it, and hash (with the anchor's) of every window of words of the pieces."""
+def _passage_words(data: np.ndarray, offsets: np.ndarray, windows: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of the pieces, and the place of each piece's first word in them."""
     starts, ends, _ = tk.words(data, offsets)
-    hashes = tk.word_hashes(data, starts, ends)
+    return tk.word_hashes(data, starts, ends), np.cumsum(windows - 1 + passage) - (windows - 1 + passage)
+
+
+def _passage_windows(hashes: np.ndarray, first_word: np.ndarray, windows: np.ndarray, gram: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Piece, place in it, and hash (with the anchor's) of every window of words of the pieces."""
     piece = np.repeat(np.arange(len(windows)), windows)
     place = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
-    first_word = np.cumsum(windows - 1 + passage) - (windows - 1 + passage)
     every = tk.window_hashes(hashes, passage)[first_word[piece] + place]
     return piece, place, tk.mix(every + tk.mix(gram.view(np.uint64))[piece])
 
@@ -171,7 +176,7 @@ def _sort_pieces(length: int, block: int, passage: int):
             data, offsets = _bytes_of(table)
             gram, windows = table.column("gram").to_numpy(), table.column("windows").to_numpy().astype(np.int64)
             if words:
-                piece, window, name = _passage_windows(data, offsets, windows, gram, passage)
+                piece, window, name = _passage_windows(*_passage_words(data, offsets, windows, passage), windows, gram, passage)
                 key = table.column("key").to_numpy()[piece]
                 order = np.lexsort((key, name))
                 fresh = np.ones(len(order), bool)
@@ -179,6 +184,7 @@ def _sort_pieces(length: int, block: int, passage: int):
                 head = np.flatnonzero(fresh)
                 count = np.diff(np.append(head, len(order)))
                 several = key[order][head] != key[order][head + count - 1]
+                several |= np.logical_or.reduceat(~np.array(table.column("lone").to_pylist(), bool)[piece][order], head)  # stands for several documents
                 found = np.sort(order[np.repeat(several, count)])
                 spans = _spans(table, piece[found], window[found], "word", passage)
             else:
@@ -260,15 +266,30 @@ def _split_cells(length: int, block: int):
 
 
 def _split_passages(passage: int):
-    """Hashes of the windows of words of pieces."""
+    """Cut pieces into blocks of windows of words: hashes of the words that all windows of a block hold, of the whole block,
+    and of each window."""
+    part = min(PART, passage)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 table = pa.Table.from_batches([batch.slice(k, 500)]).combine_chunks()
-                piece, window, name = _passage_windows(*_bytes_of(table), table.column("windows").to_numpy().astype(np.int64), table.column("gram").to_numpy(), passage)
-                columns = [name.view(np.int64), *(table.column(c).to_numpy()[piece] for c in ("key", "size")), table.column("word").to_numpy()[piece] + window, np.array(table.column("lone").to_pylist(), bool)[piece]]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], _names(_PASSAGE))
+                windows, gram, place = (table.column(c).to_numpy() for c in ("windows", "gram", "place"))
+                windows, place = windows.astype(np.int64), place.astype(np.int64)
+                hashes, first_word = _passage_words(*_bytes_of(table), windows, passage)
+                piece, window, name = _passage_windows(hashes, first_word, windows, gram, passage)
+                cell = (place[piece] - window) // part  # by the distance to the anchor, as in _split_pieces
+                fresh = np.ones(len(piece), bool)
+                fresh[1:] = (piece[1:] != piece[:-1]) | (cell[1:] != cell[:-1])
+                head = np.flatnonzero(fresh)
+                bounds = np.append(head, len(piece))
+                one, cell = piece[head], cell[head]
+                core = tk.window_hashes(hashes, passage - part + 1)[first_word[one] + place[one] - cell * part]
+                core = tk.mix(core + tk.mix(tk.mix(gram.view(np.uint64))[one] + cell.astype(np.uint64)))
+                whole = tk.mix(name[head] + tk.mix(name[bounds[1:] - 1] + np.diff(bounds).astype(np.uint64)))  # the two cover the block
+                columns = [core.view(np.int64), whole.view(np.int64), *(table.column(c).to_numpy()[one] for c in ("key", "size")), table.column("word").to_numpy()[one] + window[head], np.array(table.column("lone").to_pylist(), bool)[one]]
+                names = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(name.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), names], _names(_PASSAGE))
 
     return run
 
@@ -293,12 +314,28 @@ def _split_by_content(pieces: DataFrame, length: int, block: int) -> DataFrame:
     return spans.unionByName(again).withColumn("words", F.lit(False))
 
 
+def _in_several(rows: DataFrame, *by: str) -> DataFrame:
+    """The keys that more than one document holds, as a table; a row that is not lone stands for several."""
+    held = rows.groupBy(*by).agg(F.min("key").alias("low"), F.max("key").alias("high"), F.bool_and("lone").alias("lone"))
+    return materialize(held.where("low < high or not lone").select(*by))
+
+
 def _split_by_window(pieces: DataFrame, passage: int) -> DataFrame:
     """Spans of the windows of words at hot anchors that another document holds too."""
-    windows = materialize(pieces.mapInArrow(_split_passages(passage), _PASSAGE))
-    across = materialize(windows.groupBy("name").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("name"))
-    found = windows.where("lone").join(across, "name", "left_semi")
-    return found.select("key", "size", "start", (F.col("start") + passage).alias("stop"), F.lit(True).alias("words"))
+    whole, spot = ["core", "whole"], ["key", "size", "start", "names"]
+    cells = materialize(pieces.mapInArrow(_split_passages(passage), _PASSAGE))
+    cells = materialize(cells.join(_in_several(cells, "core"), "core", "left_semi"))
+    equal = _in_several(cells, *whole)
+    settled = cells.join(equal, whole, "left_semi")
+    spans = settled.where("lone").select("key", "size", "start", (F.col("start") + F.size("names") - 1 + passage).alias("stop"))
+    open_ = materialize(cells.join(equal, whole, "left_anti").select("core", *spot))
+    # a settled block is a partner of the open ones beside it as well
+    mates = settled.join(open_.select("core").distinct(), "core", "left_semi").groupBy(*whole).agg(F.min(F.struct(*spot)).alias("one"))
+    both = open_.select(*spot, F.lit(True).alias("lone")).unionByName(mates.select("one.*", F.lit(False).alias("lone")))
+    windows = materialize(both.select("key", "size", "lone", "start", F.posexplode("names").alias("at", "name")))
+    again = windows.where("lone").join(_in_several(windows, "name"), "name", "left_semi")
+    spans = spans.unionByName(again.select("key", "size", (F.col("start") + F.col("at")).alias("start"), (F.col("start") + F.col("at") + passage).alias("stop")))
+    return spans.withColumn("words", F.lit(True))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
