@@ -65,3 +65,11 @@ def test_medoids_of_clusters_beyond_any_sample(spark, tmp_path):
     theirs = sorted(con.execute(f"select cluster, medoid, radius from ({catalog().ORACLES['medoids_radii']})").fetchall())
     assert len(mine) == 3 and [r[:2] for r in mine] == [r[:2] for r in theirs]
     assert all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(mine, theirs, strict=True))
+
+
+def test_memberships_over_medoids_of_clusters_beyond_any_sample(spark, tmp_path):
+    con = many_embeddings(tmp_path)
+    mine = sorted(tuple(r) for r in catalog().QUERIES["hdbscan_soft_members"](spark, str(tmp_path)).select("id", "cluster", "probability").collect())
+    theirs = sorted(con.execute(f"select id, cluster, probability from ({catalog().ORACLES['hdbscan_soft_members']})").fetchall())
+    assert len(mine) == 300 and [r[:2] for r in mine] == [r[:2] for r in theirs]
+    assert all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(mine, theirs, strict=True))
