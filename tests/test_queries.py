@@ -73,3 +73,20 @@ def test_memberships_over_medoids_of_clusters_beyond_any_sample(spark, tmp_path)
     theirs = sorted(con.execute(f"select id, cluster, probability from ({catalog().ORACLES['hdbscan_soft_members']})").fetchall())
     assert len(mine) == 300 and [r[:2] for r in mine] == [r[:2] for r in theirs]
     assert all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(mine, theirs, strict=True))
+
+
+def test_memberships_just_below_half_of_the_sixth_digit(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    members = [(9, 1, 0), (7, 0, 5), (9, 4, 1), (5, -6, 1), (9, 0, 3), (1, 9, 0), (0, 8, 7), (1, 9, 4), (-6, 7, 1), (0, 9, 3), (1, 0, 9), (5, 1, 7), (1, -6, 9), (2, 4, 9), (0, 3, 8)]
+    noise = [(-113, 29, -33), (-108, 80, -42), (-105, -36, -113), (-75, 32, 82), (-54, 40, -21), (47, -113, -112), (60, 77, 92)]
+    ids = [i * 10 + 1 for i in range(15)] + [i * 10 for i in range(7)]  # multiples of 10 are noise
+    x = [[float(a) for a in v] for v in members + noise]
+    table = pa.table({"vec_id": pa.array(ids, pa.int64()), "embedding": pa.array(x, pa.list_(pa.float32())), "label": pa.array([i // 5 for i in range(15)] + [0] * 7, pa.int32())})
+    pq.write_table(table, tmp_path / "embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
+    mine = sorted(tuple(r) for r in catalog().QUERIES["hdbscan_soft_members"](spark, str(tmp_path)).select("id", "probability", "cluster").collect())
+    theirs = sorted(con.execute(f"select id, probability, cluster from ({catalog().ORACLES['hdbscan_soft_members']})").fetchall())
+    assert mine == theirs and mine[0][1] == 0.936356  # 0.9363564999998686; rounded to 12 digits first, 0.936357

@@ -29,12 +29,12 @@ def medoids(df: DataFrame, cluster: str = "cluster") -> DataFrame:
 def soft_reassignment(noise: DataFrame, centers: DataFrame, threshold: float = 0.60) -> DataFrame:
     """Softmax memberships of rows over medoids at distance / radius; the best one takes a row from ``threshold`` on.
 
-    ``centers`` has one row for each cluster of the model.
+    ``centers`` has one row for each cluster of the model. The probability is not rounded, so that a caller rounds it once.
     """
     far = noise.select("id", "x").join(F.broadcast(centers), F.lit(True)).select("id", "cluster", (V.cosine_distance("x", "center") / F.col("radius")).alias("d"))
     grouped = far.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("cluster", "d"))).alias("all"))
     u = V.softmax_negative(F.transform("all", lambda s: s["d"]))
-    return grouped.select("id", "all", u.alias("u")).select("id", F.round(V.top("u", 1), 12).alias("probability"), F.when(V.top("u", 1) >= threshold, F.get(F.transform("all", lambda s: s["cluster"]), V.argmax("u").cast("int"))).otherwise(F.lit(-1)).cast("long").alias("cluster"))
+    return grouped.select("id", "all", u.alias("u")).select("id", V.top("u", 1).alias("probability"), F.when(V.top("u", 1) >= threshold, F.get(F.transform("all", lambda s: s["cluster"]), V.argmax("u").cast("int"))).otherwise(F.lit(-1)).cast("long").alias("cluster"))
 
 
 def nearest_members(queries: DataFrame, members: DataFrame, k: int = 5) -> DataFrame:
